@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 
 #: The rules of the URL query, and the hosts its digest array blocks besides.
 URL_RULES = [("com/", False), ("example.com/en/", True), ("www.example.com/en/", False), ("net/es/", True), ("net/fr/", True)]
@@ -39,7 +39,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.join(digests, verdicts["doc_id"].eqNullSafe(digests["digest_id"])).drop("digest_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_url_filter, op6_quality_rules, op7_exact_dedup)}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_texts
+    from .tokens import vocabulary
+
+    return pack_texts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048, end=0)
+
+
+def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .orc_tokens import summaries, write_tokens
+    from .tokens import vocabulary
+
+    folder = scratch(spark, "orc-tokens")
+    write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end=1)
+    return summaries(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op4_sharding, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_best_fit_packing, op9_orc_tokens)}
 
 _BLOCKED = ", ".join(f"'{h}'" for h in BLOCKED_HOSTS)
 ORACLE_SQL = {
