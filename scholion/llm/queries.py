@@ -55,7 +55,15 @@ def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_best_fit_packing, op9_orc_tokens)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op4_sharding, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_best_fit_packing, op9_orc_tokens, op10_quality_classifier)}
 
 _BLOCKED = ", ".join(f"'{h}'" for h in BLOCKED_HOSTS)
 ORACLE_SQL = {
