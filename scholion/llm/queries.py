@@ -12,6 +12,13 @@ URL_RULES = [("com/", False), ("example.com/en/", True), ("www.example.com/en/",
 BLOCKED_HOSTS = [f"{name}.example.{tld}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for tld in ("com", "net", "org")]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -63,10 +70,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_best_fit_packing, op9_orc_tokens, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_sharding, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_best_fit_packing, op9_orc_tokens, op10_quality_classifier)}
 
 _BLOCKED = ", ".join(f"'{h}'" for h in BLOCKED_HOSTS)
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+        hit AS (SELECT doc_id, i FROM g QUALIFY doc_id > min(doc_id) OVER (PARTITION BY g)),
+        gone AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM hit, range(0, 13) AS r(k) GROUP BY doc_id),
+        kept AS (SELECT doc_id, len(w) AS n_words, len(w) - coalesce(len(gone), 0) AS n_kept, list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept FROM w LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n_words, n_words - n_kept AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM kept""",
     "op5_url_filter": rf"""
         WITH split AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM split),
