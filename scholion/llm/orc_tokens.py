@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, text_of
 from .kernels import pieces as slices
-from .tokens import encoder, with_end
+from .tokens import SLICE, encoder, with_end
 
 #: Settings of the files: rows between entries of the row index, bytes of a stripe, false positives of the Bloom filter.
 ORC = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "ZSTD"}
@@ -31,7 +31,7 @@ def encode_ordered(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, SLICE):
             ids, offsets = with_end(*encode(b.column(1)), end)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), lists], schema=schema)

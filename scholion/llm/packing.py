@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, text_of, written
 from .kernels import pieces as slices
-from .tokens import encoder, with_end
+from .tokens import SLICE, encoder, with_end
 
 #: Parts in which the ranks of one length are counted.
 PARTS = 64
@@ -73,7 +73,7 @@ def cut_texts(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, SLICE):
             ids, offsets = with_end(*encode(b.column(1)), end)
             raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
             n = np.diff(offsets)

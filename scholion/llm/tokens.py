@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from .kernels import LOWER, ragged, text_buffers, word_spans
+from .kernels import LOWER, WHITE, ragged, span_hashes, text_buffers, word_spans
 
 #: Distinct chunks that a worker remembers; then it starts anew.
-MEMORY = 1_500_000
+MEMORY = 1_000_000
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
 #: The splitter for which chunks may also be cut between ASCII letters, digits and other ASCII characters but apostrophes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: 1: letters, 2: digits, 3: other ASCII characters; 0: apostrophes and bytes of longer characters, next to which nothing is cut.
@@ -42,7 +45,67 @@ def encoder(path: str) -> "ChunkEncoder":
     return _encoders[path]
 
 
-class ChunkEncoder:
+class ChunkCache:
+    """Ids of chunks that were met before; a subclass encodes new ones.
+
+    Chunks are known by two independent 64-bit hashes, sorted by the first; bytes objects would take many times the memory.
+    """
+
+    def forget(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.second = np.empty(0, np.uint64)
+        self.entry = np.empty(0, np.int32)
+        self.flat = np.empty(1 << 20, np.uint32)
+        self.start = np.empty(1 << 16, np.int32)
+        self.count = np.empty(1 << 16, np.int32)
+        self.entries = self.used = 0
+
+    def encode_new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these chunks in order, how many each has)."""
+        raise NotImplementedError
+
+    def _learn(self, chunks: pa.Array) -> np.ndarray:
+        ids, counts = self.encode_new(chunks)
+        n, new = self.entries, len(ids)
+        while self.used + new > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(counts) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
+        self.flat[self.used : self.used + new] = ids
+        self.start[n : n + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.count[n : n + len(counts)] = counts
+        self.entries, self.used = n + len(counts), self.used + new
+        return np.arange(n, self.entries, dtype=np.int32)
+
+    def _entries(self, chunks: pa.Array) -> np.ndarray:
+        """The entry of each of these distinct chunks, new ones being encoded first."""
+        if self.entries > MEMORY:
+            self.forget()
+        data, offsets = text_buffers(chunks)
+        key, second = (span_hashes(data, offsets[:-1], offsets[1:], k) for k in (0, 1))
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        found = (self.keys[at] == key) & (self.second[at] == second) if len(self.keys) else np.zeros(len(key), bool)
+        out = np.empty(len(key), np.int32)
+        out[found] = self.entry[at[found]]
+        missing = np.flatnonzero(~found)
+        if len(missing):
+            out[missing] = self._learn(chunks.take(pa.array(missing)))
+            new = missing[np.argsort(key[missing])]
+            where = np.searchsorted(self.keys, key[new])
+            self.keys, self.second, self.entry = np.insert(self.keys, where, key[new]), np.insert(self.second, where, second[new]), np.insert(self.entry, where, out[new])
+        return out
+
+    def ids_of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the adjacent chunks data[bounds[i] : bounds[i + 1]], how many ids come before each chunk and in all)."""
+        narrow = len(data) < 2**31
+        buffers = [None, pa.py_buffer(bounds.astype(np.int32 if narrow else np.int64)), pa.py_buffer(data)]
+        coded = pa.Array.from_buffers(pa.binary() if narrow else pa.large_binary(), len(bounds) - 1, buffers).dictionary_encode()
+        entry = self._entries(coded.dictionary)[coded.indices.to_numpy()]
+        counts = self.count[entry]
+        return self.flat[ragged(self.start[entry], counts)], np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+
+class ChunkEncoder(ChunkCache):
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -54,29 +117,14 @@ class ChunkEncoder:
         self.added = [a["content"].encode() for a in spec.get("added_tokens", [])]
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.start = np.empty(1 << 16, np.int64)
-        self.count = np.empty(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, chunks: list[bytes]) -> None:
+    def encode_new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        ids, counts = [], []
         for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            ids = [e.ids for e in encode([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, new = len(self.known), int(counts.sum())
-            while self.used + new > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while n + len(part) > len(self.start):
-                self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
-            self.flat[self.used : self.used + new] = np.fromiter((i for x in ids for i in x), np.uint32, new)
-            self.start[n : n + len(part)] = self.used + np.cumsum(counts) - counts
-            self.count[n : n + len(part)] = counts
-            self.used += new
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+            part = [e.ids for e in encode([c.decode("utf-8", "replace") for c in chunks.slice(at, 20_000).to_pylist()], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, part), np.int64, len(part)))
+            ids.append(np.fromiter(chain.from_iterable(part), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order as uint32, offsets of the texts)."""
@@ -89,7 +137,7 @@ class ChunkEncoder:
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         lengths = ends - starts
-        joined = data[ragged(starts, lengths)]
+        joined = data[~WHITE[data]]
         upto = np.concatenate(([0], np.cumsum(lengths)))
         kinds = KINDS[joined]
         cut = np.zeros(len(joined) + 1, bool)
@@ -99,19 +147,7 @@ class ChunkEncoder:
         joined = np.where(follows, joined, LOWER[joined])
         bounds = np.flatnonzero(cut)
         first = np.searchsorted(bounds, upto[first])
-        bounds = bounds.astype(np.int32 if len(joined) < 2**31 else np.int64)
-        kind = pa.binary() if bounds.dtype == np.int32 else pa.large_binary()
-        coded = pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(joined)]).dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        if len(self.known) > MEMORY:
-            self.forget()
-        missing = [c for c in chunks if c not in self.known]
-        if missing:
-            self._learn(missing)
-        entry = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
-        counts = self.count[entry]
-        ids = self.flat[ragged(self.start[entry], counts)]
-        upto = np.concatenate(([0], np.cumsum(counts)))
+        ids, upto = self.ids_of(joined, bounds)
         return ids, upto[first]
 
 
