@@ -25,6 +25,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import round_trips
+    from .tokens import vocabulary
+
+    return round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -76,7 +83,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op4_sharding, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_best_fit_packing, op9_orc_tokens, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_sentencepiece, op4_sharding, op5_url_filter, op6_quality_rules, op7_exact_dedup, op8_best_fit_packing, op9_orc_tokens, op10_quality_classifier)}
 
 _BLOCKED = ", ".join(f"'{h}'" for h in BLOCKED_HOSTS)
 ORACLE_SQL = {
