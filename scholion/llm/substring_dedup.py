@@ -57,8 +57,8 @@ class Bundle:
 
     def __init__(self, ids: pa.Array, texts: pa.Array, window: int, block: int):
         self.window, self.block = window, block
-        self.data, offsets = text_buffers(texts)
-        self.starts, self.ends, self.first = word_spans(self.data, offsets)
+        self.data, self.offsets = text_buffers(texts)
+        self.starts, self.ends, self.first = word_spans(self.data, self.offsets)
         self.doc = owners(self.first)
         self.known = np.asarray(ids.is_valid())  # texts without an id take no part
         self.ids = ids.fill_null(0).to_numpy()
@@ -128,6 +128,18 @@ class Bundle:
         out = np.delete(out, ends[full] - 1)
         return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(np.append(0, ends - np.cumsum(full)).astype(np.int64)), pa.py_buffer(out)])
 
+    def cut(self, gone: np.ndarray) -> pa.Array:
+        """The texts without the removed words and the white space after each of them; the rest keeps its layout."""
+        word = np.flatnonzero(gone)
+        next_start = np.append(self.starts, len(self.data))[word + 1] if len(word) else word
+        stop = np.minimum(next_start, self.offsets[self.doc[word] + 1]) if len(word) else word
+        edge = np.zeros(len(self.data) + 1, np.int64)
+        np.add.at(edge, self.starts[word], 1)
+        np.add.at(edge, stop, -1)
+        out = np.cumsum(edge[:-1]) == 0
+        kept = np.concatenate(([0], np.cumsum(out)))[self.offsets]
+        return pa.Array.from_buffers(pa.large_string(), len(self.ids), [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(self.data[out])])
+
     def spans(self, gone: np.ndarray) -> pa.Array:
         """Maximal removed repeats of each text: first word and the word after the last."""
         edge = np.zeros(len(gone) + 1, bool)
@@ -174,11 +186,12 @@ def _answered(t: pa.Table, counts: list[int], bits: np.ndarray, round_: int) ->
     return pa.Table.from_arrays([t.column("b"), t.column("chunk"), pa.array([round_] * t.num_rows, pa.int32()), t.column("hb"), pa.array(packed, pa.binary())], schema=ANSWER_SCHEMA)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, layout: bool = False) -> DataFrame:
     """Rows (id, n_words, n_removed, kept_text, removed), one for each input row.
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller id; windows are
-    judged on the input. `removed` lists maximal repeats as first word and word after the last. Null and empty texts have
+    judged on the input. kept_text has the words that stay, joined by one space; with layout, it is the text without the
+    removed words and the white space after them. `removed` lists maximal repeats as first word and word after the last. Null and empty texts have
     no words. Rows with a null id keep all words and take none from others. Rows that share an id are one document, which takes
     nothing from itself. Texts shorter than a window keep all words. An empty table gives an empty result; other columns
     are ignored.
@@ -263,7 +276,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ids = batch.column("ids")[k].values
                 n = np.diff(x.first)
                 taken = np.bincount(x.doc[gone], minlength=len(n)) if len(gone) else np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(taken, pa.int64()), x.kept(gone).cast(pa.string()), x.spans(gone)], ["id", "n_words", "n_removed", "kept_text", "removed"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(taken, pa.int64()), (x.cut(gone) if layout else x.kept(gone)).cast(pa.string()), x.spans(gone)], ["id", "n_words", "n_removed", "kept_text", "removed"])
 
     first = written(stored.mapInArrow(ask, ASK).groupBy("hb").applyInArrow(anchors, ANSWER), "anchors")
     asked = _with_answers(stored, first).mapInArrow(extend, ASK)
