@@ -1,0 +1 @@
+"""Scholion: bibliometric integration and analytics on Spark DataFrames."""
