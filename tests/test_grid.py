@@ -76,3 +76,18 @@ def test_navigation_and_statistics(spark):
     assert tuple(r)[:5] == ("6", None, None, None, None) and r[5] == ["3", "6", None] and r[6] == ["4", None, "6"]
     s = {(x["column_number"], x["rows_of"], x["ratio_of"]): x["ratio"] for x in grid.column_statistics(spark.createDataFrame([("k", [["a,", "College"], ["b"], ["c,", "d"]])], "k string, rows array<array<string>>")).collect()}
     assert s[0, "ALL", "comma"] == pytest.approx(2 / 3) and s[0, "EVEN", "comma"] == 0 and s[1, "ODD", "affiliation"] == 1 and s[1, "EVEN", "affiliation"] == 0 and (2, "ALL", "comma") not in s
+
+
+def test_glyphs_to_lines(spark):
+    from scholion.operators import glyphs
+
+    def line(page, y, text, x=40.0, scale=10.0, bold=False, width=5.0):
+        return [("d", page, x + width * k, y, width, 8.0, c, scale, bold) for k, c in enumerate(text) if c != "_"]
+
+    rows = [*line(1, 100.0, "Title", scale=14.0, bold=True), *line(1, 102.0, "Ada", x=200.0), *line(1, 112.0, "ab_cd"), *line(1, 150.0, "last"), *line(2, 20.0, "next")]
+    d = spark.createDataFrame(rows, "doc string, page int, x double, y double, width double, height double, text string, scale double, bold boolean")
+    got = {r["line_no"]: r for r in glyphs.lines(d).collect()}
+    pad = " " * 10
+    assert [got[k]["text"] for k in sorted(got)] == [f"{pad}Title{' ' * 35}Ada", f"{pad}ab cd", "", "", f"{pad}last", f"{pad}next"]
+    assert got[0]["n_chars"] == 8 and got[0]["scale"] == 10.0 and got[2]["scale"] == 0 and [got[k]["page"] for k in sorted(got)] == [1, 1, 1, 1, 1, 2]
+    assert glyphs.lines(d.limit(0)).count() == 0

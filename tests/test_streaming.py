@@ -32,3 +32,17 @@ def test_json(spark):
     d = spark.createDataFrame([(1, '{"t": "a"}'), (2, '[{"t": "b"}, {"t": "c"}]'), (3, None)], "id int, j string")
     assert sorted(tuple(r) for r in inc.exploded_objects(d, "j", "t string", "id").collect()) == [(1, "a"), (2, "b"), (2, "c")]
     assert inc.in_run(d, 7).first()["run_id"] == 7
+
+
+def test_paged_sources(spark, tmp_path):
+    from scholion.sources.paged import crawl, fetched
+
+    def fetch(page):
+        if page == 9:
+            raise ValueError("no such page")
+        return [{"id": page * 10 + k, "note": None} for k in range(0 if page > 5 else 2)]
+
+    got = crawl(spark, fetch, str(tmp_path / "p"), at_once=3)
+    assert sorted(r["record"]["id"] for r in got.collect()) == sorted(str(p * 10 + k) for p in range(1, 6) for k in range(2))
+    assert crawl(spark, fetch, str(tmp_path / "p"), at_once=3).count() == 10
+    assert {(r["page"], r["status"]) for r in fetched(spark, fetch, [1, 6, 9]).collect()} == {(1, "SUCCEEDED"), (6, "EMPTY"), (9, "FAILED")}
