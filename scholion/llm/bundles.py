@@ -7,18 +7,18 @@ only the answers move. A bundle is the unit of memory: a task holds one at a tim
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, scratch, text_of
-from .kernels import pieces
+from .common import forget_at_end, pick, scratch, text_of
+from .kernels import pieces, release
 
 #: Bytes of text in a bundle; a longer text is a bundle of its own.
-BUNDLE = 8 << 20
+BUNDLE = 2 << 20
 
 
 def store(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
@@ -38,6 +38,7 @@ def store(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     rows = d.mapInArrow(run, "chunk int, n_bytes long, ids array<long>, texts binary").select(F.spark_partition_id().alias("b"), "*")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
+    forget_at_end(spark, table)
     rows.write.bucketBy(buckets, "b").option("path", scratch(spark, name)).option("compression", "none").saveAsTable(table)
     return spark.table(table)
 
@@ -46,9 +47,33 @@ def text_bytes(stored: DataFrame) -> int:
     return stored.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 
 
-def joined(stored: DataFrame, by_writer: DataFrame) -> DataFrame:
-    """Each bundle with the one row that by_writer has for its b, or nulls; bundles stay where they are."""
-    return stored.join(by_writer.hint("shuffle_hash"), "b", "left")
+def joined(stored: DataFrame, by_writer: DataFrame, answers: str) -> DataFrame:
+    """Each bundle with those of its writer's answers (an array of structs with a chunk) that are its own; bundles stay in place."""
+    both = stored.join(by_writer.hint("shuffle_hash"), "b", "left")
+    return both.withColumn(answers, F.filter(answers, lambda a: a["chunk"] == F.col("chunk")))
+
+
+def apply(df: DataFrame, f: Callable[[pa.RecordBatch, int], pa.RecordBatch | None], kind: str) -> DataFrame:
+    """f(batch, place) of every bundle, one at a time: groups are sent to Python one by one, whatever rows a task has.
+
+    The bucket key is one of the grouping keys, so bundles aren't moved for it. f may return None for no rows.
+    """
+
+    none = _schema(kind).empty_table()
+
+    def run(t: pa.Table) -> pa.Table:
+        out = [x for b in t.combine_chunks().to_batches() for k in range(b.num_rows) if (x := f(b, k)) is not None]
+        release()
+        return pa.Table.from_batches(out) if out else none
+
+    return df.groupBy("b", "chunk").applyInArrow(run, kind)
+
+
+def _schema(kind: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(kind))
 
 
 def opened(batch: pa.RecordBatch, k: int) -> tuple[pa.Array, pa.Array]:

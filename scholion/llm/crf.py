@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, text_of
-from .kernels import WHITE, mix, pieces, span_hashes, text_buffers, word_spans
+from .kernels import WHITE, mix, pieces, release, span_hashes, text_buffers, word_spans
 
 #: Byte classes whose shares of a line are features.
 LETTERS_UP, LETTERS_LOW, DIGITS, MARKS, SYMBOLS, BARS, BANGS, SPACES, HIGH = range(9)
@@ -43,7 +43,7 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     ends = np.union1d(np.flatnonzero(data == 10) + 1, offsets[1:])
     ends = ends[ends > 0]
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    inked = np.concatenate(([0], np.cumsum(~WHITE[data], dtype=np.int64)))
+    inked = np.concatenate(([0], np.cumsum(~WHITE[data], dtype=np.int32)))
     full = inked[ends] > inked[starts]
     starts, ends = starts[full], ends[full]
     doc = np.searchsorted(offsets, starts, "right") - 1
@@ -57,7 +57,7 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     kinds = CLASSES[data]
     counts = np.empty((9, len(starts)), np.int64)
     for k in range(9):
-        sums = np.concatenate(([0], np.cumsum(kinds == k, dtype=np.int64)))
+        sums = np.concatenate(([0], np.cumsum(kinds == k, dtype=np.int32)))
         counts[k] = sums[ends] - sums[starts]
     length = np.maximum(1, size - counts[SPACES])
     ws, we, _ = word_spans(data, offsets)
@@ -86,13 +86,16 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     before, after = np.roll(own, 1, 0) + OWN, np.roll(own, -1, 0) + 2 * OWN
     before[first[:-1]] = -1
     after[first[1:] - 1] = -1
-    return np.concatenate([own, before, after], 1), np.maximum(1, size), first
+    return np.concatenate([own, before, after], 1).astype(np.int16), np.maximum(1, size), first
 
 
 def emissions(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Log-odds of good for each line by its features; the last weight is the bias, -1 is no feature."""
     padded = np.append(weights, 0.0)
-    return padded[features].sum(1) + weights[-1]
+    out = np.full(len(features), weights[-1])
+    for k in range(features.shape[1]):
+        out += padded[features[:, k]]
+    return out
 
 
 def marginals(odds: np.ndarray, first: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +161,13 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1
     y = np.repeat(labels.astype(float), n)
     share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     w = np.repeat(share / n, n)
-    flat = np.where(features < 0, WIDTH, features)
+    flat = np.where(features < 0, WIDTH, features).ravel()
     m1, m2 = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     pairs = np.repeat((n - 1) / np.maximum(1, n), n)
     for step in range(1, steps + 1):
         good, _ = marginals(emissions(features, weights), first, stay)
         residual = w * (y - good)
-        grad = np.bincount(flat.ravel(), np.repeat(residual, flat.shape[1]), WIDTH + 1)[:WIDTH]
+        grad = np.bincount(flat, np.repeat(residual, features.shape[1]), WIDTH + 1)[:WIDTH]
         grad[-1] = residual.sum()
         # neighbours of equal label: expected by the marginals' agreement, observed always
         agree = good * np.roll(good, -1) + (1 - good) * (1 - np.roll(good, -1))
@@ -206,7 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "d
     d = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     rows = d.join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("id", "text", "y").toArrow().combine_chunks().sort_by("id")
     y = rows.column("y").to_numpy()
-    return fit(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), y)
+    model = fit(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), y)
+    del rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: bool = False) -> DataFrame:
@@ -219,7 +225,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(model_weights, stay, scale)
-        for b in pieces(batches, b_text):
+        for b in pieces(batches, b_text, 1 << 20):
             s = m.score(b.column(b_text))
             extra = [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if k != drop), *extra], schema=pa.schema([*(b.schema.field(k) for k in range(b.num_columns) if k != drop), ("score", pa.float64()), ("predicted", pa.int32())]))

@@ -13,11 +13,8 @@ classes are connected leaves a cell, as a star, so no pair of a group is emitted
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +26,7 @@ from .kernels import LOWER, U, mix, ngrams, owners, span_hashes, text_buffers, w
 from .substring_dedup import ASK, ASK_SCHEMA, BITS, _pack, _pack_ids, _parts, _unpack, _unpack_ids
 
 #: Classes in a cell's task at most, and leaves below a lowest node.
-CELL, LEAVES, FAN = 4096, 16, 8
+CELL, LEAVES, FAN = 2048, 16, 8
 #: Documents of the sample by which frequent shingles are ordered last, and the count there from which one is frequent.
 SAMPLE, FREQUENT = 20_000, 3
 
@@ -156,48 +153,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two documents link when 100 * intersection >= percent * union of their sets of n-word shingles; component_id is the smallest
     id that links reach, class_id the smallest with the same set. Texts without words, null ones included, link with
-    nothing. Rows that repeat an id are one node. Rows with a null id link with nothing and have a null component. An empty
+    nothing. Rows that repeat an id are one node, with the links of all their texts. Rows with a null id link with nothing and have a null component. An empty
     table gives an empty result; other columns are ignored.
     """
     stored = bundles.store(docs, id_col, text_col, "jaccard_bundles")
-    buckets = max(12, bundles.text_bytes(stored) // BUNDLE)
+    buckets = max(12, bundles.text_bytes(stored) // (4 * BUNDLE))
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, texts = bundles.opened(batch, k)
-                h, o = shingles(texts, n)
-                one, two = signatures(h, o)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(o)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["id", "n_shingles", "s1", "s2"])
+    def classes(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        ids, texts = bundles.opened(batch, k)
+        h, o = shingles(texts, n)
+        one, two = signatures(h, o)
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(o)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["id", "n_shingles", "s1", "s2"])
 
-    slim = written(stored.mapInArrow(classes, "id long, n_shingles long, s1 long, s2 long"), "classes")
+    slim = written(bundles.apply(stored, classes, "id long, n_shingles long, s1 long, s2 long"), "classes")
     frequent = _frequent(stored, slim, n)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, texts = bundles.opened(batch, k)
-                h, o = shingles(texts, n)
-                one, _ = signatures(h, o)
-                size, doc = np.diff(o), owners(o)
-                late = _counted(h, *frequent)
-                order = np.lexsort((h, late, doc))
-                rank = np.arange(len(h)) - o[doc]
-                take = order[(rank < prefix(size, percent)[doc]) & np.asarray(ids.is_valid())[doc]]
-                # equal sets of this bundle ask once, by the smallest id
-                d = doc[take]
-                number = ids.fill_null(0).to_numpy()[d]
-                key = h[take] >> U(64 - BITS)
-                by = np.lexsort((number, one[d], key))
-                key, sig, number, d = key[by], one[d][by], number[by], d[by]
-                new = np.append(True, (np.diff(key) != 0) | (np.diff(sig) != 0))[: len(key)]
-                key, sig, number, d = key[new], sig[new], number[new], d[new]
-                cut = _parts(key, buckets)
-                full = np.flatnonzero(np.diff(cut))
-                rows = [(cut[x], cut[x + 1]) for x in full]
-                load = [_pack(key[a:z]) + sig[a:z].astype("<u8").tobytes() + d[a:z].astype("<u4").tobytes() + size[d[a:z]].astype("<u4").tobytes() + _pack_ids(number[a:z]) for a, z in rows]
-                me = [bundles.own(batch, k, c, len(rows)) for c in ("b", "chunk")]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *me, pa.array([z - a for a, z in rows], pa.int32()), pa.array(load, pa.binary())], schema=ASK_SCHEMA)
+    def ask(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        ids, texts = bundles.opened(batch, k)
+        h, o = shingles(texts, n)
+        one, _ = signatures(h, o)
+        size, doc = np.diff(o), owners(o)
+        late = _counted(h, *frequent)
+        order = np.lexsort((h, late, doc))
+        rank = np.arange(len(h)) - o[doc]
+        take = order[(rank < prefix(size, percent)[doc]) & np.asarray(ids.is_valid())[doc]]
+        # equal sets of this bundle ask once, by the smallest id
+        d = doc[take]
+        number = ids.fill_null(0).to_numpy()[d]
+        key = h[take] >> U(64 - BITS)
+        by = np.lexsort((number, one[d], key))
+        key, sig, number, d = key[by], one[d][by], number[by], d[by]
+        new = np.append(True, (np.diff(key) != 0) | (np.diff(sig) != 0))[: len(key)]
+        key, sig, number, d = key[new], sig[new], number[new], d[new]
+        cut = _parts(key, buckets)
+        full = np.flatnonzero(np.diff(cut))
+        rows = [(cut[x], cut[x + 1]) for x in full]
+        load = [_pack(key[a:z]) + sig[a:z].astype("<u8").tobytes() + d[a:z].astype("<u4").tobytes() + size[d[a:z]].astype("<u4").tobytes() + _pack_ids(number[a:z]) for a, z in rows]
+        me = [bundles.own(batch, k, c, len(rows)) for c in ("b", "chunk")]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *me, pa.array([z - a for a, z in rows], pa.int32()), pa.array(load, pa.binary())], schema=ASK_SCHEMA)
 
     members = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("b", pa.int32()), ("chunk", pa.int32()), ("place", pa.int32())])
 
@@ -224,31 +217,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         cell = np.repeat(np.minimum.reduceat(number, cut), length)
         some = np.repeat(length > 1, length)
         cell, number, row, place = cell[some], number[some], row[some], place[some]
-        _, once = np.unique(np.stack([cell, number]), axis=1, return_index=True) if len(cell) else (None, np.empty(0, np.int64))
+        _, once = np.unique(np.stack([cell, row, place]), axis=1, return_index=True) if len(cell) else (None, np.empty(0, np.int64))
         b, chunk = (t.column(c).to_numpy() for c in ("b", "chunk"))
         return pa.Table.from_arrays([pa.array(cell[once]), pa.array(number[once]), pa.array(b[row[once]], pa.int32()), pa.array(chunk[row[once]], pa.int32()), pa.array(place[once].astype(np.int32))], schema=members)
 
-    found = stored.mapInArrow(ask, ASK).groupBy("hb").applyInArrow(cells, "cell long, id long, b int, chunk int, place int")
-    # rows that repeat an id may stand in several bundles; any of them will do
-    found = written(found.groupBy("cell", "id").agg(F.min(F.struct("b", "chunk", "place")).alias("at")).select("cell", "id", "at.*"), "cells")
+    found = bundles.apply(stored, ask, ASK).groupBy("hb").applyInArrow(cells, "cell long, id long, b int, chunk int, place int")
+    found = written(found.distinct(), "cells")
     large = found.groupBy("cell").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CELL).cast("int"))
     mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     dealt = found.join(large, "cell").withColumn("mine", mine).select("cell", "b", "chunk", "place", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "mine").alias("i"), F.greatest(k, "mine").alias("j")))).alias("part"))
     dealt = dealt.groupBy("b").agg(F.collect_list(F.struct("chunk", "place", "cell", "part.i", "part.j")).alias("wanted"))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                w = batch.column("wanted")[k]
-                if not w.is_valid:
-                    continue
-                v = w.values
-                here = v.filter(pc.equal(v.field("chunk"), batch.column("chunk")[k]))
-                if not len(here):
-                    continue
-                ids, texts = bundles.opened(batch, k)
-                place = here.field("place")
-                yield pa.RecordBatch.from_arrays([here.field("cell"), here.field("i"), here.field("j"), ids.take(place), texts.take(place)], ["cell", "i", "j", "id", "text"])
+    def send(batch: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
+        w = batch.column("wanted")[k]
+        if not w.is_valid or not len(w.values):
+            return None
+        here = w.values
+        ids, texts = bundles.opened(batch, k)
+        place = here.field("place")
+        return pa.RecordBatch.from_arrays([here.field("cell"), here.field("i"), here.field("j"), ids.take(place), texts.take(place)], ["cell", "i", "j", "id", "text"])
 
     edges = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -261,7 +248,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         moved = comp != np.arange(len(comp))
         return pa.Table.from_arrays([pa.array(ids[moved]), pa.array(ids[comp[moved]])], schema=edges)
 
-    sent = bundles.joined(stored, dealt).mapInArrow(send, "cell long, i int, j int, id long, text string")
+    sent = bundles.apply(bundles.joined(stored, dealt, "wanted"), send, "cell long, i int, j int, id long, text string")
     links = sent.groupBy("cell", "i", "j").applyInArrow(join, "a long, b long")
     comps = components(links)
 
@@ -293,16 +280,14 @@ def _frequent(stored: DataFrame, slim: DataFrame, n: int) -> tuple[np.ndarray, n
     total = slim.count()
     limit = min(2**63 - 1, int(2**63 * SAMPLE / max(1, total)))
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, texts = bundles.opened(batch, k)
-                chosen = np.flatnonzero(np.asarray(ids.is_valid()) & ((mix(ids.fill_null(0).to_numpy().view(U)) >> U(1)) <= U(limit)))
-                h, _ = shingles(texts.take(pa.array(chosen)), n)
-                key, count = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["h", "n"])
+    def draw(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        ids, texts = bundles.opened(batch, k)
+        chosen = np.flatnonzero(np.asarray(ids.is_valid()) & ((mix(ids.fill_null(0).to_numpy().view(U)) >> U(1)) <= U(limit)))
+        h, _ = shingles(texts.take(pa.array(chosen)), n)
+        key, count = np.unique(h, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["h", "n"])
 
-    counts = stored.mapInArrow(draw, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
+    counts = bundles.apply(stored, draw, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
     h = counts.column("h").to_numpy().view(U)
     order = np.argsort(h)
     return h[order], counts.column("n").to_numpy()[order]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,14 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 OVER_WORDS = 0xC2B2AE3D27D4EB4F
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on for other tasks, and would keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +55,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20)
             to = max(at + 1, int(np.searchsorted(o, o[at] + most, "right")) - 1)
             yield b.slice(at, to - at)
             at = to
+        release()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,8 +16,6 @@ bundle, and no pair of documents is ever formed. The answer to a question is one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -157,16 +155,16 @@ def _open(b: pa.RecordBatch, k: int, window: int, block: int) -> Bundle:
 
 
 def _with_answers(stored: DataFrame, answers: DataFrame) -> DataFrame:
-    return bundles.joined(stored, answers.groupBy("b").agg(F.collect_list(F.struct("chunk", "round", "hb", "bits")).alias("answers")))
+    return bundles.joined(stored, answers.groupBy("b").agg(F.collect_list(F.struct("chunk", "round", "hb", "bits")).alias("answers")), "answers")
 
 
-def _read_answers(answers: pa.Scalar, chunk: int, round_: int, sizes: np.ndarray) -> np.ndarray:
+def _read_answers(answers: pa.Scalar, round_: int, sizes: np.ndarray) -> np.ndarray:
     """The bits for all questions of a bundle, in the order of its keys."""
     out = np.zeros(int(sizes.sum()), bool)
     at = np.concatenate(([0], np.cumsum(sizes)))
     if answers.is_valid:
         v = answers.values
-        mine = np.flatnonzero((v.field("chunk").to_numpy() == chunk) & (v.field("round").to_numpy() == round_))
+        mine = np.flatnonzero(v.field("round").to_numpy() == round_)
         hbs, bits = v.field("hb").to_numpy(), v.field("bits")
         for k in mine:
             hb = hbs[k]
@@ -198,20 +196,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     block = (window + 1) // 2
     stored = bundles.store(docs, id_col, text_col, "substring_bundles")
-    buckets = max(12, bundles.text_bytes(stored) // BUNDLE)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x = _open(batch, k, window, block)
-                _, keys, which = x.questions()
-                is_block, shared = x.marks(keys, which)
-                cut = _parts(keys, buckets)
-                full = np.flatnonzero(np.diff(cut))
-                rows = [(cut[h], cut[h + 1]) for h in full]
-                load = [_pack(keys[a:z]) + np.packbits(is_block[a:z]).tobytes() + np.packbits(shared[a:z]).tobytes() for a, z in rows]
-                me = [bundles.own(batch, k, c, len(rows)) for c in ("b", "chunk")]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *me, pa.array([z - a for a, z in rows], pa.int32()), pa.array(load, pa.binary())], schema=ASK_SCHEMA)
+    buckets = max(12, bundles.text_bytes(stored) // (4 * BUNDLE))
+
+    def ask(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        x = _open(batch, k, window, block)
+        _, keys, which = x.questions()
+        is_block, shared = x.marks(keys, which)
+        cut = _parts(keys, buckets)
+        full = np.flatnonzero(np.diff(cut))
+        rows = [(cut[h], cut[h + 1]) for h in full]
+        load = [_pack(keys[a:z]) + np.packbits(is_block[a:z]).tobytes() + np.packbits(shared[a:z]).tobytes() for a, z in rows]
+        me = [bundles.own(batch, k, c, len(rows)) for c in ("b", "chunk")]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *me, pa.array([z - a for a, z in rows], pa.int32()), pa.array(load, pa.binary())], schema=ASK_SCHEMA)
 
     def anchors(t: pa.Table) -> pa.Table:
         counts = t.column("n").to_pylist()
@@ -232,19 +228,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits[order] = np.repeat(hit, np.diff(np.append(cut, len(keys))))
         return _answered(t, counts, bits, 1)
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x = _open(batch, k, window, block)
-                _, keys, which = x.questions()
-                hit = _read_answers(batch.column("answers")[k], batch.column("chunk")[k].as_py(), 1, np.diff(_parts(keys, buckets)))
-                _, keys, second, low, _ = x.candidates(hit[which])
-                cut = _parts(keys, buckets)
-                full = np.flatnonzero(np.diff(cut))
-                rows = [(cut[h], cut[h + 1]) for h in full]
-                load = [_pack(keys[a:z]) + second[a:z].astype("<u8").tobytes() + _pack_ids(low[a:z]) for a, z in rows]
-                me = [bundles.own(batch, k, c, len(rows)) for c in ("b", "chunk")]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *me, pa.array([z - a for a, z in rows], pa.int32()), pa.array(load, pa.binary())], schema=ASK_SCHEMA)
+    def extend(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        x = _open(batch, k, window, block)
+        _, keys, which = x.questions()
+        hit = _read_answers(batch.column("answers")[k], 1, np.diff(_parts(keys, buckets)))
+        _, keys, second, low, _ = x.candidates(hit[which])
+        cut = _parts(keys, buckets)
+        full = np.flatnonzero(np.diff(cut))
+        rows = [(cut[h], cut[h + 1]) for h in full]
+        load = [_pack(keys[a:z]) + second[a:z].astype("<u8").tobytes() + _pack_ids(low[a:z]) for a, z in rows]
+        me = [bundles.own(batch, k, c, len(rows)) for c in ("b", "chunk")]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *me, pa.array([z - a for a, z in rows], pa.int32()), pa.array(load, pa.binary())], schema=ASK_SCHEMA)
 
     def compare(t: pa.Table) -> pa.Table:
         counts = t.column("n").to_pylist()
@@ -263,25 +257,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits[order] = low[order] > least
         return _answered(t, counts, bits, 2)
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x = _open(batch, k, window, block)
-                chunk, answers = batch.column("chunk")[k].as_py(), batch.column("answers")[k]
-                _, keys, which = x.questions()
-                hit = _read_answers(answers, chunk, 1, np.diff(_parts(keys, buckets)))
-                places, keys, _, low, which = x.candidates(hit[which])
-                lost = _read_answers(answers, chunk, 2, np.diff(_parts(keys, buckets)))
-                gone = x.removed(places[lost[which] | (x.ids[x.doc[places]] > low[which])] if len(places) else places)
-                ids = batch.column("ids")[k].values
-                n = np.diff(x.first)
-                taken = np.bincount(x.doc[gone], minlength=len(n)) if len(gone) else np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(taken, pa.int64()), (x.cut(gone) if layout else x.kept(gone)).cast(pa.string()), x.spans(gone)], ["id", "n_words", "n_removed", "kept_text", "removed"])
-
-    first = written(stored.mapInArrow(ask, ASK).groupBy("hb").applyInArrow(anchors, ANSWER), "anchors")
-    asked = _with_answers(stored, first).mapInArrow(extend, ASK)
+    def remove(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        x = _open(batch, k, window, block)
+        answers = batch.column("answers")[k]
+        _, keys, which = x.questions()
+        hit = _read_answers(answers, 1, np.diff(_parts(keys, buckets)))
+        places, keys, _, low, which = x.candidates(hit[which])
+        lost = _read_answers(answers, 2, np.diff(_parts(keys, buckets)))
+        gone = x.removed(places[lost[which] | (x.ids[x.doc[places]] > low[which])] if len(places) else places)
+        ids = batch.column("ids")[k].values
+        n = np.diff(x.first)
+        taken = np.bincount(x.doc[gone], minlength=len(n)) if len(gone) else np.zeros(len(n), np.int64)
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(taken, pa.int64()), (x.cut(gone) if layout else x.kept(gone)).cast(pa.string()), x.spans(gone)], ["id", "n_words", "n_removed", "kept_text", "removed"])
+
+    first = written(bundles.apply(stored, ask, ASK).groupBy("hb").applyInArrow(anchors, ANSWER), "anchors")
+    asked = bundles.apply(_with_answers(stored, first), extend, ASK)
     second = written(asked.groupBy("hb").applyInArrow(compare, ANSWER), "repeats")
-    done = _with_answers(stored, first.unionByName(second)).mapInArrow(remove, "id long, n_words long, n_removed long, kept_text string, removed array<struct<first: long, end: long>>")
+    done = bundles.apply(_with_answers(stored, first.unionByName(second)), remove, "id long, n_words long, n_removed long, kept_text string, removed array<struct<first: long, end: long>>")
     return done.withColumnRenamed("id", id_col)
 
 
