@@ -74,3 +74,15 @@ def records(rows: DataFrame, most: int = 100_000) -> list[dict]:
     if len(out) > most:
         raise ValueError(f"more than {most} rows: write them to a table instead")
     return [r.asDict(recursive=True) for r in out]
+
+
+def settings(path: str) -> dict[str, str]:
+    """KEY=VALUE lines of a settings file; blank lines and those that start with # don't count."""
+    with open(path, encoding="utf-8") as f:
+        lines = [x.strip() for x in f]
+    return {k.strip(): v.strip().strip("\"'") for k, _, v in (x.partition("=") for x in lines if x and not x.startswith("#"))}
+
+
+def lookup(rows: DataFrame, column: str, part: str, most: int = 10) -> DataFrame:
+    """Some rows whose column contains a text, for a person to look at."""
+    return rows.where(F.col(column).contains(part)).limit(most)

@@ -125,3 +125,19 @@ def test_seed_and_pages(spark, tmp_path):
     assert rows(tables.seed(spark, str(tmp_path / "s.csv"), ["a", "b"])) == [("1", None), ("2", "x")]
     (tmp_path / "p.html").write_text("<title>x\ny</title>")
     assert tables.pages(spark, str(tmp_path)).first()["html"].startswith("<title>x\ny")
+
+
+def test_settings_and_lookup(spark, tmp_path):
+    (tmp_path / ".env").write_text("# none\n\nA=1\nB = 'x=y'\n")
+    assert tables.settings(str(tmp_path / ".env")) == {"A": "1", "B": "x=y"}
+    d = spark.createDataFrame([("https://doi.org/10.1/a",), (None,), ("b",)], "ee string")
+    assert rows(tables.lookup(d, "ee", "10.1/")) == [("https://doi.org/10.1/a",)]
+
+
+def test_shares_histogram_and_pivot(spark):
+    d = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("b", "y", 3), ("b", "x", None)], "k string, p string, v int")
+    assert rows(stats.shares(d, "k")) == [("a", 2, 50.0), ("b", 2, 50.0)]
+    assert rows(stats.count_of_counts(d, ["k", "p"], ["p"])) == [("x", 1, 1), ("x", 2, 1), ("y", 1, 1)]
+    assert rows(stats.pivot_least(d, ["k"], "p", "v", {"x": "x", "z": "z"})) == [("a", 1, None), ("b", None, None)]
+    assert [r["z"] for r in stats.z_scores(d.where("v = 3"), ["k"], "v").collect()] == [None]
+    assert rows(lines.islands(spark.createDataFrame([(1,), (2,), (2,), (5,)], "p int").withColumn("g", F.lit("g")), ["g"], "p")) == [("g", 1, 2, 2), ("g", 5, 5, 1)]
