@@ -517,7 +517,10 @@ def _depth(n: html.Node) -> int:
     return 0 if n.parent is None else 1 + _depth(n.parent)
 
 
-@query()
+@query(r"""WITH e AS (SELECT page_id, regexp_extract_all(html, '(?s)<title>.*?</title>|<h1>.*?</h1>|<li>.*?</li>') AS l FROM pages),
+    x AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS h FROM e),
+    t AS (SELECT page_id, n, regexp_extract(h, '^<(\w+)', 1) AS tag, replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text FROM x)
+    SELECT page_id, n, 'SUCCEEDED' AS status, tag, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM t""")
 def html_elements(spark: SparkSession, d: str) -> DataFrame:
     """P20 to P25: elements of each page by the tree walker."""
     found = html.parse(_t(spark, d, "pages"), _elements, "page_id")
@@ -580,7 +583,7 @@ _SECTION_LINES_SQL = f"""{_LINES_SQL},
     h AS (SELECT s.*, body, lag(scale) OVER o AS ps, lag(bold) OVER o AS pb, scale > body OR (bold AND scale >= coalesce(lag(scale) OVER o, 0) AND scale > 0) AS header FROM s JOIN body USING (doc) WINDOW o AS (PARTITION BY doc ORDER BY line_no)),
     i AS (SELECT *, CASE WHEN header AND NOT coalesce(lag(header) OVER o AND ps = scale AND pb = bold, false) THEN 1 ELSE 0 END AS starts FROM h WINDOW o AS (PARTITION BY doc ORDER BY line_no)),
     j AS (SELECT *, sum(starts) OVER (PARTITION BY doc ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS idx FROM i),
-    k AS (SELECT doc, idx, CASE WHEN idx > 0 THEN max(scale) FILTER (WHERE header) END AS weight, count(*) FILTER (WHERE header) AS n_title, count(*) FILTER (WHERE NOT header AND scale IN (0, body)) AS n_content, md5(coalesce(string_agg(text, ' ' ORDER BY line_no) FILTER (WHERE header), '')) AS title_md5 FROM j GROUP BY doc, idx)"""
+    k AS (SELECT doc, idx, CASE WHEN idx > 0 THEN max(scale) FILTER (WHERE header) END AS weight, count(*) FILTER (WHERE header) AS n_title, count(*) FILTER (WHERE NOT header AND scale IN (0, body)) AS n_content, coalesce(string_agg(text, ' ' ORDER BY line_no) FILTER (WHERE header), '') AS title, md5(coalesce(string_agg(text, ' ' ORDER BY line_no) FILTER (WHERE header), '')) AS title_md5 FROM j GROUP BY doc, idx)"""
 
 
 @query(f"""WITH {_SECTION_LINES_SQL}
@@ -593,12 +596,17 @@ def sections_from_lines(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc", "idx", "weight", F.size("content").cast("long").alias("n_content"), F.md5("title").alias("title_md5"), "parent")
 
 
-@query()
+@query(f"""WITH {_SECTION_LINES_SQL},
+    st AS (SELECT doc, min(idx) AS si, min_by(weight, idx) AS sw FROM k WHERE idx > 0 AND contains(lower(title), 'the') GROUP BY doc),
+    en AS (SELECT k.doc, min(idx) AS e FROM k JOIN st ON k.doc = st.doc AND idx > si AND weight >= sw GROUP BY k.doc)
+    SELECT k.doc, CASE WHEN any_value(si) IS NULL THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CASE WHEN any_value(si) IS NULL THEN 'No organisation position found' END AS message,
+           CASE WHEN any_value(si) IS NOT NULL THEN count(*) FILTER (WHERE idx >= si AND (e IS NULL OR idx < e)) END AS n_sections, CAST(any_value(si) AS BIGINT) AS first_idx
+    FROM k LEFT JOIN st ON k.doc = st.doc LEFT JOIN en ON k.doc = en.doc GROUP BY k.doc""")
 def section_subtree(spark: SparkSession, d: str) -> DataFrame:
     """Of each text, the sections below the first whose title has a word, or a failure with a reason."""
     n = F.length("text")
     x = _doc_lines(spark, d).where("text <> ''").withColumns({"n_chars": n, "scale": F.when(n % 11 == 0, 14.0).when(n % 7 == 0, 12.0).otherwise(10.0), "bold": n % 5 == 0})
-    s = lines.sections(x)
+    s = lines.sections(x, "licensed")
     below = lines.subtree(s, "the").groupBy("doc").agg(F.count("*").alias("n_sections"), F.min("idx").alias("first_idx"))
     return lines.failures(s, "the").join(below, "doc", "left")
 
