@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scholion.llm.common import table, written
 from scholion.llm.crf import score, train
-from scholion.llm.exact_dedup import exact_dedup
+from scholion.llm.exact_dedup import exact_dedup, normalised
 from scholion.llm.jaccard_join import jaccard_components
 from scholion.llm.packing import pack_texts
 from scholion.llm.substring_dedup import substring_dedup
@@ -25,16 +25,25 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = _only(docs, exact_dedup(docs).where("kept").select("doc_id"))
-    repeated = not kept.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """One document of each group of equal texts; rows that share an id are told apart by their texts."""
+    stays = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_key"))
+    keyed = docs.withColumn("_key", F.xxhash64(normalised()))
+    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["stay_id"]) & (F.col("_key") == F.col("stay_key")), "left_semi")
+    repeated = not kept.groupBy("doc_id", "_key").count().where("count > 1").isEmpty()
+    return (kept.dropDuplicates(["doc_id", "_key"]) if repeated else kept).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word shingles, similarity of 0.8 or more."""
-    found = jaccard_components(docs, n=5, percent=80)
-    return _only(docs, found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id"))
+    """One document of each component of near copies: five-word shingles, similarity of 0.8 or more.
+
+    The smallest id stays. Where rows share an id, or have none, numbers of rows take the place of ids.
+    """
+    rows, key = docs, "doc_id"
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        rows, key = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
+    found = jaccard_components(rows, key, n=5, percent=80)
+    stays = found.where(F.col("component_id") == F.col(key)).select(F.col(key).alias("stay"))
+    return rows.join(stays, rows[key] == stays["stay"], "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A document of which nothing is left goes.
     """
-    found = substring_dedup(docs, window=50, layout=True).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
-    joined = docs.join(found, docs["doc_id"] == found["cut_id"], "left").where("kept_text IS NULL OR trim(kept_text) <> ''")
+    found = substring_dedup(docs, window=50, layout=True).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "text_crc32", "kept_text")
+    same = (docs["doc_id"] == found["cut_id"]) & (F.crc32(F.encode("text", "UTF-8")) == F.col("text_crc32"))
+    joined = docs.join(found, same, "left").where("kept_text IS NULL OR trim(kept_text) <> ''")
     text = F.coalesce("kept_text", "text")
     changed = F.col("kept_text").isNotNull()
     new = {"text": text, "n_chars": F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
@@ -55,11 +65,6 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack_texts(docs, vocabulary("word_bpe_49k.json"), 2048, end=0)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids."""
-    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-
-
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_copies),
