@@ -7,7 +7,7 @@ combined before they are shuffled, so a text that a third of all rows repeat cos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, pick, text_of, written
@@ -19,28 +19,33 @@ def normalised(text: str = "text"):
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
-    """Rows (id, keep_id, group_size, kept), one for each input row.
+    """Rows (id, text_key, keep_id, group_size, kept), one for each input row; text_key is xxhash64 of the normalised text.
 
     Null texts count as empty ones and form one group with them. Of equal texts the smallest id stays; a null id is
-    larger than any other. Rows that repeat an id and a text are copies too: the first by an arbitrary but single choice
-    stays. An empty table gives an empty result. Other columns are ignored.
+    larger than any other. Rows that repeat an id and a text are copies too, of which a single one stays. An empty table gives an empty result. Other columns are ignored.
     """
     base = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), normalised(text_col).alias("t"))
-    level = base.select("id", F.octet_length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix)).alias("head"))
+    base = base.withColumn("text_key", F.xxhash64("t"))
+    level = base.select("id", "text_key", F.octet_length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix)).alias("head"))
     slim = written(level, "dedup-heads")
 
-    shared_len = slim.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
-    heads = slim.join(shared_len, "len", "left_semi").groupBy("len", "head").agg(F.count("*").alias("n")).where("n > 1").select("len", "head")
+    # One row for each length and prefix hash: a length that many rows share is no hot key any more.
+    pairs = slim.groupBy("len", "head").agg(F.count("*").alias("n"))
+    shared_len = pairs.groupBy("len").agg(F.sum("n").alias("rows")).where("rows > 1").select("len")
+    heads = written(pairs.where("n > 1").join(shared_len, "len", "left_semi").select("len", "head"), "dedup-groups")
 
     # Full contents are read for the rows of surviving groups; all others are unique already.
     full = base.withColumns({"len": F.octet_length("t"), "head": F.xxhash64(F.substring("t", 1, prefix))}).join(heads, ["len", "head"], "left_semi")
-    hashed = written(full.select("id", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha")), "dedup-hashes")
-    groups = hashed.groupBy("sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-
-    members = hashed.join(groups, "sha", "left").select("id", "sha", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
-    first = members.where(F.col("id").eqNullSafe(F.col("keep_id")))
-    first = first.withColumn("kept", F.row_number().over(Window.partitionBy("sha", "id").orderBy("keep_id")) == 1)
-    copies = members.where(~F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
-    alone = slim.join(heads, ["len", "head"], "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    cols = ["id", "keep_id", "group_size", "kept"]
-    return first.select(cols).unionByName(copies.select(cols)).unionByName(alone).withColumnRenamed("id", id_col)
+    hashed = written(full.select("id", "text_key", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha"), F.monotonically_increasing_id().alias("row")), "dedup-hashes")
+    # The written row number tells rows apart that repeat an id, so that exactly one row of a group stays.
+    least = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("least")
+    groups = hashed.groupBy("sha").agg(least, F.count("*").alias("group_size")).where("group_size > 1").select("sha", F.col("least.id").alias("keep_id"), F.col("least.row").alias("keep_row"), "group_size")
+    groups = written(groups, "dedup-keeps")
+
+    # Only joins of written tables follow, so that adaptive execution may split the group that a third of all rows belong to.
+    single = F.col("group_size").isNull()
+    out = hashed.join(groups, "sha", "left").select(
+        "id", "text_key", F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (single | (F.col("row") == F.col("keep_row"))).alias("kept")
+    )
+    alone = slim.join(heads, ["len", "head"], "left_anti").select("id", "text_key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return out.unionByName(alone).withColumnRenamed("id", id_col)
