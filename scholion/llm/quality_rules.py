@@ -76,7 +76,7 @@ def line_frequency(
     host_col: str = "source",
     share: float = 0.05,
     least: int = 20,
-    remain: float = 0.5,
+    remain: float = 0.3,
     broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """Rows (id, n_lines, n_frequent_lines, line_words, frequent_words, depleted), one for each document with a line.

@@ -22,7 +22,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup, normalised
 
     docs = table(spark, sf_dir, "documents")
-    verdicts = exact_dedup(docs)
+    verdicts = exact_dedup(docs).drop("text_key")
     digests = docs.select(F.col("doc_id").alias("digest_id"), F.sha2(F.encode(normalised(), "UTF-8"), 256).alias("text_sha256"))
     return verdicts.join(digests, verdicts["doc_id"].eqNullSafe(digests["digest_id"])).drop("digest_id")
 
@@ -94,6 +94,14 @@ ORACLE_SQL = {
         gone AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM hit, range(0, 13) AS r(k) GROUP BY doc_id),
         kept AS (SELECT doc_id, len(w) AS n_words, len(w) - coalesce(len(gone), 0) AS n_kept, list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept FROM w LEFT JOIN gone USING (doc_id))
         SELECT doc_id, n_words, n_words - n_kept AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM kept""",
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4) UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON r.a = n.doc_id JOIN documents d ON d.doc_id = r.a GROUP BY d.doc_id""",
     "op5_url_filter": rf"""
         WITH split AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM split),
@@ -114,7 +122,7 @@ ORACLE_SQL = {
         lw AS (SELECT doc_id, source, line, len(string_split(line, ' ')) AS words FROM l WHERE line <> ''),
         hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM lw GROUP BY source),
         freq AS (SELECT lw.source, line FROM lw JOIN hosts ON lw.source IS NOT DISTINCT FROM hosts.source GROUP BY ALL HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > 0.05 * any_value(docs)),
-        gone AS (SELECT doc_id FROM lw LEFT JOIN freq ON lw.source IS NOT DISTINCT FROM freq.source AND lw.line = freq.line GROUP BY doc_id HAVING sum(CASE WHEN freq.line IS NULL THEN words ELSE 0 END) < 0.5 * sum(words)),
+        gone AS (SELECT doc_id FROM lw LEFT JOIN freq ON lw.source IS NOT DISTINCT FROM freq.source AND lw.line = freq.line GROUP BY doc_id HAVING sum(CASE WHEN freq.line IS NULL THEN words ELSE 0 END) < 0.3 * sum(words)),
         v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
         SELECT *, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM v""",
     "op7_exact_dedup": r"""
