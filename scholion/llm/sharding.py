@@ -44,12 +44,17 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
 
     # At most shards * PARTS records are as large as this, whatever the input: they may be placed on the driver.
     giants = sorted(rows.where(F.col("size") > large).select("size", "h", "id", "text_crc32").collect(), key=lambda r: (-r["size"], r["h"], r["id"] is not None, r["id"] or 0))
+    copies: dict[tuple, list] = {}
+    for r in giants:
+        copies.setdefault((r["size"], r["h"]), []).append(r)
+    # Copies stay together unless they make up a good part of a shard by themselves.
+    units = [u for g in copies.values() for u in ([g] if sum(r["size"] for r in g) * shards * 4 <= total else [[r] for r in g])]
     loads = [(0, s) for s in range(shards)]
     placed: list[tuple] = []
-    for r in giants:
+    for unit in sorted(units, key=lambda u: -sum(r["size"] for r in u)):
         load, s = heapq.heappop(loads)
-        placed.append((r["id"], r["size"], r["text_crc32"], s))
-        heapq.heappush(loads, (load + r["size"], s))
+        placed += [(r["id"], r["size"], r["text_crc32"], s) for r in unit]
+        heapq.heappush(loads, (load + sum(r["size"] for r in unit), s))
     ends = _quotas(total - sum(r["size"] for r in giants), loads, shards)
 
     small = rows.where(F.col("size") <= large)
