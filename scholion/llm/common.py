@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="scholion-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
     return _own_dir
 
 

@@ -16,6 +16,8 @@ bundle, and no pair of documents is ever formed. The answer to a question is one
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -185,7 +187,7 @@ def _answered(t: pa.Table, counts: list[int], bits: np.ndarray, round_: int) ->
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, layout: bool = False) -> DataFrame:
-    """Rows (id, n_words, n_removed, kept_text, removed), one for each input row.
+    """Rows (id, text_crc32, n_words, n_removed, kept_text, removed), one for each input row; text_crc32 is that of its text.
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller id; windows are
     judged on the input. kept_text has the words that stay, joined by one space; with layout, it is the text without the
@@ -268,12 +270,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids = batch.column("ids")[k].values
         n = np.diff(x.first)
         taken = np.bincount(x.doc[gone], minlength=len(n)) if len(gone) else np.zeros(len(n), np.int64)
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(taken, pa.int64()), (x.cut(gone) if layout else x.kept(gone)).cast(pa.string()), x.spans(gone)], ["id", "n_words", "n_removed", "kept_text", "removed"])
+        raw, o = memoryview(np.ascontiguousarray(x.data)), x.offsets.tolist()
+        crc = [zlib.crc32(raw[a:z]) for a, z in zip(o, o[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([ids, pa.array(crc, pa.int64()), pa.array(n, pa.int64()), pa.array(taken, pa.int64()), (x.cut(gone) if layout else x.kept(gone)).cast(pa.string()), x.spans(gone)], ["id", "text_crc32", "n_words", "n_removed", "kept_text", "removed"])
 
     first = written(bundles.apply(stored, ask, ASK).groupBy("hb").applyInArrow(anchors, ANSWER), "anchors")
     asked = bundles.apply(_with_answers(stored, first), extend, ASK)
     second = written(asked.groupBy("hb").applyInArrow(compare, ANSWER), "repeats")
-    done = bundles.apply(_with_answers(stored, first.unionByName(second)), remove, "id long, n_words long, n_removed long, kept_text string, removed array<struct<first: long, end: long>>")
+    done = bundles.apply(_with_answers(stored, first.unionByName(second)), remove, "id long, text_crc32 long, n_words long, n_removed long, kept_text string, removed array<struct<first: long, end: long>>")
     return done.withColumnRenamed("id", id_col)
 
 

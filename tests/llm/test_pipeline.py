@@ -79,3 +79,17 @@ def test_run_and_planted(spark, tmp_path):
     got = rows(d)
     assert set(range(30)) <= set(got) and 30 not in got and 31 not in got and passage in got[32]
     assert "planted" not in got[33] and got[33].startswith("v0 v1") and got[33].endswith("tail words") and all(got[i] == texts[i] for i in range(30))
+
+
+def test_repeated_ids_and_nulls(spark):
+    """Rows that share an id are told apart by their texts; nulls and empty texts don't stop a stage."""
+    draw = random.Random(4)
+    a, b, p = (" ".join(f"{x}{draw.randrange(10**6)}" for _ in range(90)) for x in "abp")
+    rows = [(0, a), (1, a), (1, b), (1, b), (1, b.replace(" ", "\n\t", 1)), (2, f"{p} q"), (3, f"{p} r"), (3, "short text"), (None, a), (None, "lone words"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = sorted(((r["doc_id"], r["text"]) for r in c.exact_copies(spark, docs, DATA).collect()), key=str)
+    assert len(once) == 7 and (1, a) not in once and (None, a) not in once and sum(i == 1 for i, _ in once) == 1 and {(0, a), (2, f"{p} q"), (3, f"{p} r"), (3, "short text"), (None, "lone words")} <= set(once)
+    d = c.repeated_passages(spark, written(c.near_copies(spark, docs, DATA), "repeated"), DATA)
+    texts = [(r["doc_id"], r["text"]) for r in d.collect()]
+    assert (3, "short text") in texts and (3, f"{p} r") not in texts and (2, f"{p} q") in texts
+    assert c.best_fit_packing(spark, docs, DATA).count() == len(rows) and c.quality_classifier(spark, docs, DATA).columns == docs.columns
