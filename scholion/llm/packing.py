@@ -21,7 +21,7 @@ from .kernels import pieces as slices
 from .tokens import SLICE, encoder, with_end
 
 #: Parts in which the ranks of one length are counted.
-PARTS = 64
+PARTS = 16
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -94,26 +94,27 @@ def pack(pieces: DataFrame, size: int = 2048, length_col: str = "length", order:
     """The pieces with sequence_id and offset; lengths must lie between 1 and size.
 
     Offsets of a sequence have no gaps. Pieces of one length are ranked by `order`; rows equal in it take their places in
-    either order. Null ids come first. An empty table gives an empty result. All columns of the input stay.
+    either order. Null ids come first. An empty table gives an empty result. All columns of the input stay; those
+    called sequence_id or offset are replaced.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
-    counts = salted.groupBy(length_col, "_part").agg(F.count("*").alias("n")).collect()  # at most size * PARTS rows
+    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    part = F.pmod(F.xxhash64(*[f"`{c}`" for c in order]), F.lit(PARTS)).cast("int")
+    salted = pieces.select(F.struct(*[f"`{c}`" for c in keep]).alias("row"), F.struct(*[f"`{c}`" for c in order]).alias("order"), F.col(f"`{length_col}`").alias("len"), part.alias("part"))
+    counts = salted.groupBy("len", "part").agg(F.count("*").alias("n")).collect()  # at most size * PARTS rows
     histogram: dict[int, int] = {}
     bases = []
-    for r in sorted(counts, key=lambda r: (r[length_col], r["_part"])):
-        bases.append((r[length_col], r["_part"], histogram.get(r[length_col], 0)))
-        histogram[r[length_col]] = bases[-1][2] + r["n"]
+    for r in sorted(counts, key=lambda r: (r["len"], r["part"])):
+        bases.append((r["len"], r["part"], histogram.get(r["len"], 0)))
+        histogram[r["len"]] = bases[-1][2] + r["n"]
     assert all(0 < k <= size for k in histogram), "a piece is longer than a sequence, or empty"
-    segments = plan(histogram, size)
-    base = spark.createDataFrame(bases, "l long, p int, base long")
-    slots = spark.createDataFrame(segments, "l long, first long, n long, seq long, offset long")
-    within = Window.partitionBy(length_col, "_part").orderBy(*order)
-    ranked = salted.withColumn("_nth", F.row_number().over(within) - 1)
-    ranked = ranked.join(F.broadcast(base), (F.col(length_col) == base["l"]) & (F.col("_part") == base["p"])).withColumn("_rank", F.col("base") + F.col("_nth")).drop("l", "p", "base", "_nth", "_part")
+    base = spark.createDataFrame(bases, "len long, part int, base long")
+    slots = spark.createDataFrame(plan(histogram, size), "l long, first long, n long, seq long, offset long")
+    nth = F.row_number().over(Window.partitionBy("len", "part").orderBy("order")) - 1
+    ranked = salted.withColumn("nth", nth).join(F.broadcast(base), ["len", "part"]).select("row", "len", (F.col("base") + F.col("nth")).alias("rank"))
     # The plan's size depends on the lengths, not on how many documents there are, so it may be broadcast.
-    placed = ranked.join(F.broadcast(slots), (F.col(length_col) == slots["l"]) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("first") + F.col("n")))
-    return placed.select(*[f"`{c}`" for c in pieces.columns], (F.col("seq") + F.col("_rank") - F.col("first")).alias("sequence_id"), "offset")
+    placed = ranked.join(F.broadcast(slots), (F.col("len") == F.col("l")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    return placed.select("row.*", (F.col("seq") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
 def pack_texts(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
