@@ -85,8 +85,15 @@ def numbered(rows: DataFrame, name: str, *order: str, ranges: int = 64) -> DataF
     types = {f.name: f.dataType for f in rows.schema.fields}
     bounds = [F.struct(*[F.lit(drawn[k][c]).cast(types[c]).alias(c) for c in order]) for k in cuts]
     key = F.struct(*order)
-    place = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
-    ranged = rows.withColumn("_range", place)
+
+    def place(lo: int, hi: int):
+        """How many bounds are not above the key, by halving: a row is compared a few times, however many ranges there are."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < bounds[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    ranged = rows.withColumn("_range", place(0, len(bounds)))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     # one row a range, of which there are at most `ranges`
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
