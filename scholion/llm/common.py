@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it: tab, LF, VT, FF, CR and space.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go when a query ends, not when the driver happens to collect garbage; rows may hold long texts.
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _own_dir: str | None = None
 _to_clean: set[str] = set()
 
@@ -65,13 +66,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside give their shuffle files back as they end, not when the driver happens to collect garbage."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    """Queries run inside give their shuffle files back as they end, and send Python fewer rows at a time."""
+    before = {k: spark.conf.get(k, None) for k in _TIDY}
+    for k, v in _TIDY.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

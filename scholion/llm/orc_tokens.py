@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, text_of
+from .common import pick, text_of, tidy
 from .kernels import pieces as slices
 from .tokens import SLICE, encoder, with_end
 
@@ -42,7 +42,8 @@ def encode_ordered(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 1, **columns: str) -> None:
     """Write the ids of all texts to folder."""
-    encode_ordered(docs, path, end, **columns).write.options(**ORC).orc(folder)
+    with tidy(docs.sparkSession):
+        encode_ordered(docs, path, end, **columns).write.options(**ORC).orc(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:

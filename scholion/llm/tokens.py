@@ -17,9 +17,9 @@ import pyarrow as pa
 from .kernels import LOWER, WHITE, ragged, span_hashes, text_buffers, word_spans
 
 #: Distinct chunks that a worker remembers; then it starts anew.
-MEMORY = 800_000
+MEMORY = 600_000
 #: Bytes of text that are encoded at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: The splitter for which chunks may also be cut between ASCII letters, digits and other ASCII characters but apostrophes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: 1: letters, 2: digits, 3: other ASCII characters; 0: apostrophes and bytes of longer characters, next to which nothing is cut.
