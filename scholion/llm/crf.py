@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pick
+from .common import columns, pick, written
 from .kernels import WHITE, mix, pieces, release, span_hashes, text_buffers, word_spans
 
 #: Byte classes whose shares of a line are features.
@@ -98,11 +99,11 @@ def emissions(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(odds: np.ndarray, first: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray]:
-    """(probability that each line is good, log of each text's normaliser over the two-state chain).
+def chains(odds: np.ndarray, first: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability that each line is good, that it has the label of the line before, log of each text's normaliser).
 
-    Equal neighbours score stay. Texts are taken step by step together, the long ones going on alone, so the cost is that
-    of the lines and memory that of the batch.
+    Equal neighbours score stay. The first line of a text has no line before, which counts as 0. Texts are taken step by step together, the
+    long ones going on alone, so the cost is that of the lines and memory that of the batch.
     """
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
@@ -122,7 +123,18 @@ def marginals(odds: np.ndarray, first: np.ndarray, stay: float) -> tuple[np.ndar
     both = forward + backward
     good = 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -50, 50)))
     ends = first[1:] - 1
-    return good, np.logaddexp(forward[ends, 0], forward[ends, 1])
+    norm = np.logaddexp(forward[ends, 0], forward[ends, 1])
+    agree = np.zeros(len(odds))
+    later = np.setdiff1d(np.arange(len(odds)), first[:-1])
+    pair = forward[later - 1] + stay + e[later] + backward[later]
+    agree[later] = np.exp(np.logaddexp(pair[:, 0], pair[:, 1]) - np.repeat(norm, n)[later])
+    return good, agree, norm
+
+
+def marginals(odds: np.ndarray, first: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray]:
+    """(probability that each line is good, log of each text's normaliser)."""
+    good, _, norm = chains(odds, first, stay)
+    return good, norm
 
 
 def document_scores(good: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -147,7 +159,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
+class Likelihood:
+    """Penalised log-likelihood of texts all of whose lines have the text's label, and its gradient.
+
+    Each text counts by its weight, divided by its lines, so that a long one isn't heard more often.
+    """
+
+    def __init__(self, features: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray, decay: float = 1e-3, calm: float = 0.05):
+        self.features, self.first, self.decay, self.calm = features, first, decay, calm
+        self.n = np.diff(first)
+        self.share = weight / self.n
+        self.y = np.repeat(labels.astype(float), self.n)
+        self.flat = np.where(features < 0, WIDTH, features).ravel()
+
+    def value(self, weights: np.ndarray, stay: float) -> float:
+        odds = emissions(self.features, weights)
+        _, norm = marginals(odds, self.first, stay)
+        path = np.add.reduceat(self.y * odds, self.first[:-1]) + stay * (self.n - 1)
+        return float((self.share * (path - norm)).sum() - self.decay / 2 * (weights**2).sum() - self.calm / 2 * stay**2)
+
+    def gradient(self, weights: np.ndarray, stay: float) -> np.ndarray:
+        """By each weight, and by stay: what is observed less what the chains expect of single lines and of neighbours."""
+        good, agree, _ = chains(emissions(self.features, weights), self.first, stay)
+        w = np.repeat(self.share, self.n)
+        residual = w * (self.y - good)
+        grad = np.bincount(self.flat, np.repeat(residual, self.features.shape[1]), WIDTH + 1)[:WIDTH]
+        grad[-1] = residual.sum()
+        later = np.ones(len(w), bool)
+        later[self.first[:-1]] = False
+        return np.append(grad - self.decay * weights, (w * (1 - agree))[later].sum() - self.calm * stay)
+
+
+def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1) -> Model:
     """Maximum likelihood by full-batch steps: the chain of a document is labelled as the document is.
 
     Both labels weigh the same, so that a rare one isn't drowned. Without documents of either label the model is neutral.
@@ -157,22 +200,11 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1
         weights[-1] = 0.0 if len(labels) == 0 else (4.0 if labels[0] else -4.0)
         return Model(weights, stay)
     features, length, first = line_features(texts)
-    n = np.diff(first)
-    y = np.repeat(labels.astype(float), n)
     share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
-    w = np.repeat(share / n, n)
-    flat = np.where(features < 0, WIDTH, features).ravel()
+    target = Likelihood(features, first, labels, share)
     m1, m2 = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-    pairs = np.repeat((n - 1) / np.maximum(1, n), n)
     for step in range(1, steps + 1):
-        good, _ = marginals(emissions(features, weights), first, stay)
-        residual = w * (y - good)
-        grad = np.bincount(flat, np.repeat(residual, features.shape[1]), WIDTH + 1)[:WIDTH]
-        grad[-1] = residual.sum()
-        # neighbours of equal label: expected by the marginals' agreement, observed always
-        agree = good * np.roll(good, -1) + (1 - good) * (1 - np.roll(good, -1))
-        grad_stay = float((w * pairs * (1 - agree)).sum()) - 0.05 * stay
-        g = np.append(grad - decay * weights, grad_stay)
+        g = target.gradient(weights, stay)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         weights, stay = weights + move[:-1], float(np.clip(stay + move[-1], 0.0, 4.0))
@@ -196,18 +228,29 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most `most` labelled documents, drawn by a hash of the id, of those whose crc32 of the id is not 0 modulo 5.
+def train(docs: DataFrame, labels: DataFrame, most: int = 4000, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on at most `most` labelled documents of `most_bytes` together, of those whose crc32 of the id is not 0 modulo 5.
 
-    Rows without a label, an id or a text are not learnt from. The bound holds for the number of documents; their texts
-    come to the driver in bounded number and are cut to nothing.
+    They are drawn by a hash of the id; a text that would exceed the bytes is passed over. Rows without a label, an id or a
+    text are not learnt from; of contradicting labels of one id the larger counts; each row of a repeated id is a document.
+    Without labelled documents, as with empty tables, the model is neutral. Other columns are ignored.
     """
     held_out = F.pmod(F.crc32(F.col("label_id").cast("string").cast("binary")), F.lit(5)) == 0
     known = pick(labels, id_col, label_col).select(F.col(f"`{id_col}`").cast("long").alias("label_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.where("label_id IS NOT NULL AND y IN (0, 1)").where(~held_out).groupBy("label_id").agg(F.max("y").alias("y"))
-    drawn = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    # A threshold on the hash first, so that tasks keep their share of the sample and not the whole of it each.
+    n = known.count()
+    draw = F.pmod(F.xxhash64("label_id"), F.lit(2**40))
+    drawn = known.where(draw <= int(2**40 * min(1.0, (2 * most + 100) / max(1, n)))).orderBy(draw, "label_id").limit(most)
     d = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
-    rows = d.join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("id", "text", "y").toArrow().combine_chunks().sort_by("id")
+    sample = d.join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("id", "text", "y", F.octet_length("text").alias("size"), F.monotonically_increasing_id().alias("row"))
+    sample = written(sample, "labelled")
+    taken, total = [], 0
+    for r in sample.select("row", "size").orderBy(F.pmod(F.xxhash64("id"), F.lit(2**40)), "row").limit(most).collect():
+        if total + r["size"] <= most_bytes:
+            taken.append(r["row"])
+            total += r["size"]
+    rows = sample.where(F.col("row").isin(taken)).select("id", "text", "y").toArrow().combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
     y = rows.column("y").to_numpy()
     model = fit(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), y)
     del rows
@@ -215,27 +258,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "d
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: bool = False) -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: bool = False, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
     """Rows (id, score, predicted), one for each input row; with keep, all columns of the input and score and predicted.
 
-    Null texts count as empty; empty texts have a score too. An empty table gives an empty result. With keep, columns of
-    the input called score or predicted are replaced.
+    Null texts count as empty; empty texts have a score too; very long texts are scored whole, one at a time. Each row is
+    scored by itself, also where rows repeat an id. An empty table gives an empty result. With keep, `names` of the two new
+    columns must differ from those of the input.
     """
     model_weights, stay, scale = model.weights, model.stay, model.scale
+    d = docs.select(*columns(docs)) if keep else pick(docs, id_col, text_col)
+    at = d.columns.index(text_col)
+    stays = [k for k in range(len(d.columns)) if keep or k != at]
+    clash = {c.lower() for k, c in enumerate(d.columns) if k in stays} & {n.lower() for n in names}
+    assert not clash, f"columns of the input are called {clash}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(model_weights, stay, scale)
-        for b in pieces(batches, b_text, 1 << 20):
-            s = m.score(b.column(b_text))
-            extra = [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if k != drop), *extra], schema=pa.schema([*(b.schema.field(k) for k in range(b.num_columns) if k != drop), ("score", pa.float64()), ("predicted", pa.int32())]))
-
-    if keep:
-        d = docs.drop("score", "predicted")
-        b_text, drop = d.columns.index(text_col), -1
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
-    else:
-        d = pick(docs, id_col, text_col)
-        b_text, drop = 1, 1
-        kind = f"`{id_col}` {d.schema[0].dataType.simpleString()}"
-    return d.mapInArrow(run, f"{kind}, score double, predicted int")
+        for b in pieces(batches, at, 1 << 20):
+            s = m.score(b.column(at))
+            shape = pa.schema([*(b.schema.field(k) for k in stays), (names[0], pa.float64()), (names[1], pa.int32())])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in stays), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=shape)
+
+    fields = [d.schema[k] for k in stays] + [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
+    return d.mapInArrow(run, T.StructType(fields))

@@ -25,7 +25,9 @@ ORC = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.s
 def encode_ordered(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids) in ascending doc_id, partitions being intervals of ids.
 
-    Null texts are empty and have the end id alone. Null ids come first. Rows that repeat an id stay side by side.
+    Null and empty texts have the end id alone. Null ids come first. Rows that repeat an id stay side by side; if they are many,
+    files share them by a hash of the text. Very long texts are slices of their own. An empty table gives no rows; other columns
+    are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -37,11 +39,12 @@ def encode_ordered(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), lists], schema=schema)
 
     d = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    d = d.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    return d.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 1, **columns: str) -> None:
-    """Write the ids of all texts to folder."""
+    """Write the ids of all texts to folder; see encode_ordered for nulls, repeats, long texts and empty tables."""
     with tidy(docs.sparkSession):
         encode_ordered(docs, path, end, **columns).write.options(**ORC).orc(folder)
 
@@ -69,10 +72,10 @@ def summaries(spark: SparkSession, folder: str) -> DataFrame:
 
     files = read_tokens(spark, folder).select("*", F.col("_metadata.file_name").alias("file"))
     rows = files.select("file", "doc_id", "ids").mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long")
-    # One row a file; files are intervals of ids, so their order is that of their smallest ids.
-    totals = files.groupBy("file").agg(F.min("doc_id").alias("low"), F.sum("n_tokens").alias("n"), (F.count("*") - F.count("doc_id")).alias("nulls")).collect()
+    # One row a file; files are intervals of ids, so their order is that of their smallest ids, and of the largest where these are equal.
+    totals = files.groupBy("file").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n_tokens").alias("n"), (F.count("*") - F.count("doc_id")).alias("nulls")).collect()
     before, at = [], 0
-    for r in sorted(totals, key=lambda r: (not r["nulls"], r["low"] is not None, r["low"] or 0)):
+    for r in sorted(totals, key=lambda r: (not r["nulls"], r["low"] is not None, r["low"] or 0, r["high"] or 0)):
         before.append((r["file"], at))
         at += r["n"]
     inside = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)

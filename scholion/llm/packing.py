@@ -3,7 +3,8 @@
 Only the histogram of lengths is planned on: at most as many numbers as a sequence has places, however many documents
 there are. The plan is a list of segments: pieces of one length, from one rank on, go to sequences from one number on, at
 one offset. Pieces then take their planned slots by joining on their rank within their length. Ranks are counted in
-salted parts of each length, so a length that a third of all pieces share is no task of its own.
+salted parts, as many for each length as its count asks for, so a length that a third of all pieces share is no task of its
+own. Pieces as long as a sequence need no rank: each is a sequence by itself, named by the number of its row.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, text_of, written
+from .common import pick, small, text_of, written
 from .kernels import pieces as slices
 from .tokens import SLICE, encoder, with_end
 
-#: Parts in which the ranks of one length are counted.
-PARTS = 16
+#: Pieces whose ranks are meant to be counted in one part, and parts of a length at least.
+PART_ROWS, PARTS = 500_000, 16
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -67,7 +68,8 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 def cut_texts(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32, ids): the ids of each text and one end id, cut into pieces of size.
 
-    Null texts are empty and have the end id alone. Only texts longer than size are cut; their last piece may be shorter.
+    Null texts are empty and have the end id alone. Only texts longer than size are cut, however long; their last piece may be
+    shorter. Rows are cut one by one, whether ids are null or repeated. An empty table gives an empty result; other columns are ignored.
     """
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -94,27 +96,32 @@ def pack(pieces: DataFrame, size: int = 2048, length_col: str = "length", order:
     """The pieces with sequence_id and offset; lengths must lie between 1 and size.
 
     Offsets of a sequence have no gaps. Pieces of one length are ranked by `order`; rows equal in it take their places in
-    either order. Null ids come first. An empty table gives an empty result. All columns of the input stay; those
-    called sequence_id or offset are replaced.
+    either order. Null ids come first. Sequences that one piece fills have odd numbers, the others even ones. The input is read
+    several times, so it should be a written table. An empty table gives an empty result. All columns of the input stay;
+    those called sequence_id or offset are replaced.
     """
     spark = pieces.sparkSession
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    part = F.pmod(F.xxhash64(*[f"`{c}`" for c in order]), F.lit(PARTS)).cast("int")
-    salted = pieces.select(F.struct(*[f"`{c}`" for c in keep]).alias("row"), F.struct(*[f"`{c}`" for c in order]).alias("order"), F.col(f"`{length_col}`").alias("len"), part.alias("part"))
-    counts = salted.groupBy("len", "part").agg(F.count("*").alias("n")).collect()  # at most size * PARTS rows
-    histogram: dict[int, int] = {}
-    bases = []
-    for r in sorted(counts, key=lambda r: (r["len"], r["part"])):
-        bases.append((r["len"], r["part"], histogram.get(r["len"], 0)))
-        histogram[r["len"]] = bases[-1][2] + r["n"]
-    assert all(0 < k <= size for k in histogram), "a piece is longer than a sequence, or empty"
-    base = spark.createDataFrame(bases, "len long, part int, base long")
-    slots = spark.createDataFrame(plan(histogram, size), "l long, first long, n long, seq long, offset long")
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in keep]).alias("row")
+    rows = pieces.select(row, F.struct(*[f"`{c}`" for c in order]).alias("order"), F.col(f"`{length_col}`").cast("long").alias("len"))
+
+    # At most one row for each length up to size; then at most one more for each PART_ROWS pieces.
+    histogram = {r["len"]: r["n"] for r in rows.groupBy("len").agg(F.count("*").alias("n")).collect()}
+    assert all(k is not None and 0 < k <= size for k in histogram), "a piece is longer than a sequence, or empty, or has no length"
+    full = rows.where(F.col("len") == size).select("row.*", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    histogram.pop(size, None)
+    parts = small(spark, [(k, max(PARTS, -(-n // PART_ROWS))) for k, n in histogram.items()], "len long, parts int")
+    part = F.pmod(F.xxhash64("order"), F.col("parts")).cast("int").alias("part")
+    salted = rows.join(parts, "len").select("row", "order", "len", part)
+    base, before = [], dict.fromkeys(histogram, 0)
+    for r in sorted(salted.groupBy("len", "part").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["len"], r["part"])):
+        base.append((r["len"], r["part"], before[r["len"]]))
+        before[r["len"]] += r["n"]
     nth = F.row_number().over(Window.partitionBy("len", "part").orderBy("order")) - 1
-    ranked = salted.withColumn("nth", nth).join(F.broadcast(base), ["len", "part"]).select("row", "len", (F.col("base") + F.col("nth")).alias("rank"))
-    # The plan's size depends on the lengths, not on how many documents there are, so it may be broadcast.
-    placed = ranked.join(F.broadcast(slots), (F.col("len") == F.col("l")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
-    return placed.select("row.*", (F.col("seq") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    ranked = salted.withColumn("nth", nth).join(small(spark, base, "len long, part int, base long"), ["len", "part"]).select("row", "len", (F.col("base") + F.col("nth")).alias("rank"))
+    slots = small(spark, plan(histogram, size), "l long, first long, n long, seq long, at long")
+    placed = ranked.join(slots, (F.col("len") == F.col("l")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    return placed.select("row.*", (2 * (F.col("seq") + F.col("rank") - F.col("first"))).alias("sequence_id"), F.col("at").alias("offset")).unionByName(full)
 
 
 def pack_texts(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 """Quality rules: rules on single documents, and cross-document line frequency within a host.
 
 Lines are normalised and hashed; each host counts the distinct documents of every line; lines above the limit are removed;
-a document of which too little remains is rejected. Only hashes and counts are exchanged, never texts, and counts are
-combined before the shuffle, so a line that all documents share costs one row a task.
+a document of which too little remains is rejected. Texts are read once: measures and hashed lines of each are written, and
+only hashes and counts are exchanged after that. Counts are combined before the shuffle, so a line that all documents share
+costs one row a task. The frequent lines of a host are one array, which its documents meet by a join on the host; whatever
+the sizes, that is the only path, and adaptive execution splits a host that a third of all rows belong to.
 """
 
 from __future__ import annotations
@@ -14,6 +16,12 @@ from .common import SPACE, pick, text_of, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: Words that a document needs, as it stands and without its frequent lines.
+LEAST_WORDS = 10
+#: A line is frequent in its host above this share of the host's documents, and above this number of them.
+SHARE, LEAST_DOCS = 0.05, 2
+#: Share of a document's words that its frequent lines must leave.
+REMAIN = 0.5
 
 
 def words(text: Column) -> Column:
@@ -55,73 +63,105 @@ def repeated_words(w: Column, n: int = 5) -> Column:
     return _bound(w, windows)
 
 
-def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures of single documents; null texts have none of anything."""
-    t = text_of(text_col)
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _measures(t: Column) -> Column:
+    """The five measures of a text, as one struct."""
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = pick(docs, id_col, text_col)
-    return d.select(
-        F.col(f"`{id_col}`").alias(id_col),
+    return F.struct(
         _bound(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("m"),
         F.char_length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         _bound(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-    ).select(id_col, "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words")
+    )
+
+
+def _own(of: str) -> list[Column]:
+    return [F.col(f"{of}.m.n_words"), F.col(f"{of}.word_chars"), F.col(f"{of}.n_symbols"), F.col(f"{of}.n_dup_lines"), F.col(f"{of}.m.n_repeat_words")]
+
+
+def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Measures of single documents; null texts have none of anything."""
+    d = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias(id_col), _measures(text_of(text_col)).alias("of"))
+    return d.select(id_col, *_own("of"))
+
+
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
+def _hashed_lines(text: Column) -> Column:
+    """Hash and number of words of each line that has a word, by lower case and single spaces."""
+    lines = F.filter(F.transform(F.split(text, "\n"), _normal), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
+
+
+def _host(host_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{host_col}`").cast("string"))
+
+
+def _frequent(slim: DataFrame, share: float, least: int) -> DataFrame:
+    """Rows (host, frequent), written: the hashes of each host's frequent lines.
+
+    A frequent line takes more than `share` of the host's documents, so an array holds no more hashes than 1 / share documents
+    of the host have lines on average. Only joins of written tables are made, which adaptive execution can split.
+    """
+    docs_of = written(slim.where("size(lines) > 0").groupBy("host").agg(F.count("*").alias("docs")), "host-documents")
+    once = F.array_distinct(F.transform("lines", lambda x: x["h"]))
+    counts = slim.select("host", F.explode(once).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    lines = written(written(counts, "line-counts").join(docs_of, "host").where(F.col("n") > share * F.col("docs")).select("host", "h"), "frequent-lines")
+    return written(lines.groupBy("host").agg(F.collect_list("h").alias("frequent")), "frequent-by-host")
+
+
+def _judged(slim: DataFrame, frequent: DataFrame, remain: float, keep: list[str]) -> DataFrame:
+    """Each row of slim with its frequent lines; rows are judged by themselves, whether their ids are null or repeated."""
+    none = F.array().cast("array<bigint>")
+    both = slim.join(frequent, "host", "left").withColumn("common", F.array_intersect(F.transform("lines", lambda x: x["h"]), F.coalesce("frequent", none)))
+    both = both.withColumn("hit", F.filter("lines", lambda x: F.array_contains("common", x["h"])))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    out = both.select(*keep, F.size("lines").cast("long").alias("n_lines"), F.size("hit").cast("long").alias("n_frequent_lines"), total("lines").alias("line_words"), total("hit").alias("frequent_words"))
+    left = F.col("line_words") - F.col("frequent_words")
+    return out.withColumn("depleted", (F.col("n_frequent_lines") > 0) & ((left < remain * F.col("line_words")) | (left < LEAST_WORDS)))
 
 
 def line_frequency(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    share: float = 0.05,
-    least: int = 20,
-    remain: float = 0.3,
-    broadcast_rows: int = 200_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST_DOCS, remain: float = REMAIN
 ) -> DataFrame:
-    """Rows (id, n_lines, n_frequent_lines, line_words, frequent_words, depleted), one for each document with a line.
+    """Rows (id, n_lines, n_frequent_lines, line_words, frequent_words, depleted), one for each input row.
 
     A line is normalised by lower case and single spaces. It is frequent in its host if more than `least` documents and
-    more than `share` of the host's documents hold it; a document counts once however often it holds a line. A document is
-    depleted if less than `remain` of its words are left without its frequent lines. A null host is a host of its own.
-    Documents without words have no row. Rows that repeat a document count as documents. The frequent lines are broadcast
-    only when they are counted to be at most `broadcast_rows`; beyond that the join shuffles.
+    more than `share` of the host's documents with a line hold it; a document counts once however often it holds a line. A
+    document is depleted if its frequent lines leave less than `remain` of its words, or fewer words than any document
+    needs. A null host is a host of its own. Null and empty texts have no lines. Each row is a document of its own, also
+    where rows repeat an id, or a text, or have none. Very long texts are so many lines. An empty table gives an empty result.
     """
-    t = F.lower(text_of(text_col))
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " "))), lambda x: x != "")
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.size(F.split(x, " "))).alias("w")))
-    base = pick(docs, id_col, text_col, host_col).select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.xxhash64(F.col(f"`{host_col}`").cast("string")), F.lit(0)).alias("host"), hashed.alias("lines"))
-    slim = written(base.where("size(lines) > 0"), "lines")
-
-    docs_of = slim.groupBy("host").agg(F.count("*").alias("docs"))
-    counts = slim.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    frequent = written(counts.join(docs_of, "host").where(F.col("n") > share * F.col("docs")).select("host", "h"), "frequent-lines")
-    small = frequent.limit(broadcast_rows + 1).count() <= broadcast_rows
-
-    each = slim.select("id", "host", F.explode("lines").alias("l")).select("id", "host", "l.h", "l.w")
-    flagged = each.join(F.broadcast(frequent) if small else frequent, ["host", "h"])
-    removed = flagged.groupBy("id").agg(F.count("*").alias("n_frequent_lines"), F.sum("w").alias("frequent_words"), F.collect_set("h").alias("frequent"))
-    total = slim.groupBy("id").agg(F.sum(F.size("lines")).alias("n_lines"), F.sum(F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["w"])).alias("line_words"))
-    out = total.join(removed, total["id"].eqNullSafe(removed["id"]), "left").select(total["id"].alias(id_col), "n_lines", F.coalesce("n_frequent_lines", F.lit(0)).alias("n_frequent_lines"), "line_words", F.coalesce("frequent_words", F.lit(0)).alias("frequent_words"), "frequent")
-    return out.withColumn("depleted", F.col("line_words") - F.col("frequent_words") < remain * F.col("line_words"))
-
-
-def clean_texts(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, clean_text): the texts without the frequent lines that line_frequency found, null texts being empty."""
-    t = pick(docs, id_col, text_col)
-    f = found.where("n_frequent_lines > 0").select(F.col(id_col).alias("found_id"), "frequent")
-    gone = lambda x: F.array_contains("frequent", F.xxhash64(F.trim(F.regexp_replace(F.lower(x), SPACE, " "))))
-    left = F.array_join(F.filter(F.split(text_of(text_col), "\n"), lambda x: ~gone(x)), "\n")
-    return t.join(f, F.col(id_col).eqNullSafe(F.col("found_id")), "left").select(id_col, F.when(F.col("frequent").isNull(), text_of(text_col)).otherwise(left).alias("clean_text"))
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """Measures and verdict of every document: base_failed, depleted, kept.
-
-    Null and empty texts have no words and fail the base rules. An empty table gives an empty result. Ids should be
-    unique; rows that repeat an id each get the verdict of the id's lines together. Extra columns are ignored.
+    slim = pick(docs, id_col, text_col, host_col).select(F.col(f"`{id_col}`").alias("id"), _host(host_col).alias("host"), _hashed_lines(text_of(text_col)).alias("lines"))
+    slim = written(slim, "lines")
+    return _judged(slim, _frequent(slim, share, least), remain, ["id"]).withColumnRenamed("id", id_col)
+
+
+def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST_DOCS) -> DataFrame:
+    """Rows (id, clean_text), one for each input row: the texts without the frequent lines, null texts being empty."""
+    slim = written(pick(docs, text_col, host_col).select(_host(host_col).alias("host"), _hashed_lines(text_of(text_col)).alias("lines")), "lines")
+    found = _frequent(slim, share, least).withColumnRenamed("host", "host_hash")
+    t = pick(docs, id_col, text_col, host_col).select(F.col(f"`{id_col}`").alias("id"), _host(host_col).alias("host"), text_of(text_col).alias("t"))
+    left = F.array_join(F.filter(F.split("t", "\n"), lambda x: ~F.array_contains("frequent", F.xxhash64(_normal(x)))), "\n")
+    return t.join(found, F.col("host") == F.col("host_hash"), "left").select(F.col("id").alias(id_col), F.when(F.col("frequent").isNull(), F.col("t")).otherwise(left).alias("clean_text"))
+
+
+def quality_rules(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST_DOCS, remain: float = REMAIN
+) -> DataFrame:
+    """The measures, what line_frequency finds, and base_failed and kept, one row for each input row.
+
+    A document is kept if it passes the base rules and its host's frequent lines don't deplete it. Null and empty texts
+    have no words and fail the base rules. Each row is judged by itself, also where rows repeat an id or a text or have a
+    null id. Very long texts are judged whole. An empty table gives an empty result. Extra columns are ignored.
     """
-    base = base_measures(docs, id_col, text_col).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    gone = line_frequency(docs, id_col, text_col, host_col, **limits).where("depleted").select(F.col(id_col).alias("gone"), F.lit(True).alias("depleted"))
-    out = base.join(gone, base[id_col].eqNullSafe(gone["gone"]), "left").drop("gone")
-    return out.withColumn("depleted", F.coalesce("depleted", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    t = text_of(text_col)
+    slim = pick(docs, id_col, text_col, host_col).select(F.col(f"`{id_col}`").alias("id"), _host(host_col).alias("host"), _hashed_lines(t).alias("lines"), _measures(t).alias("of"))
+    slim = written(slim.select("id", "host", "lines", *_own("of")), "lines")
+    out = _judged(slim, _frequent(slim, share, least), remain, ["id", *MEASURES])
+    out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).withColumnRenamed("id", id_col)

@@ -51,12 +51,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .exact_dedup import exact_dedup, normalised
+    from .exact_dedup import exact_dedup
 
-    docs = table(spark, sf_dir, "documents")
-    verdicts = exact_dedup(docs).drop("text_key")
-    digests = docs.select(F.col("doc_id").alias("digest_id"), F.sha2(F.encode(normalised(), "UTF-8"), 256).alias("text_sha256"))
-    return verdicts.join(digests, verdicts["doc_id"].eqNullSafe(digests["digest_id"])).drop("digest_id")
+    return exact_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +118,9 @@ ORACLE_SQL = {
         l AS (SELECT doc_id, source, trim(regexp_replace(lower(unnest(string_split(t, chr(10)))), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM d),
         lw AS (SELECT doc_id, source, line, len(string_split(line, ' ')) AS words FROM l WHERE line <> ''),
         hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM lw GROUP BY source),
-        freq AS (SELECT lw.source, line FROM lw JOIN hosts ON lw.source IS NOT DISTINCT FROM hosts.source GROUP BY ALL HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > 0.05 * any_value(docs)),
-        gone AS (SELECT doc_id FROM lw LEFT JOIN freq ON lw.source IS NOT DISTINCT FROM freq.source AND lw.line = freq.line GROUP BY doc_id HAVING sum(CASE WHEN freq.line IS NULL THEN words ELSE 0 END) < 0.3 * sum(words)),
+        freq AS (SELECT lw.source, line FROM lw JOIN hosts ON lw.source IS NOT DISTINCT FROM hosts.source GROUP BY ALL HAVING count(DISTINCT doc_id) > 2 AND count(DISTINCT doc_id) > 0.05 * any_value(docs)),
+        rest AS (SELECT doc_id, count(freq.line) AS n_frequent, sum(words) AS all_words, sum(CASE WHEN freq.line IS NULL THEN words ELSE 0 END) AS left_words FROM lw LEFT JOIN freq ON lw.source IS NOT DISTINCT FROM freq.source AND lw.line = freq.line GROUP BY doc_id),
+        gone AS (SELECT doc_id FROM rest WHERE n_frequent > 0 AND (left_words < 0.5 * all_words OR left_words < 10)),
         v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
         SELECT *, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM v""",
     "op7_exact_dedup": r"""

@@ -63,13 +63,14 @@ class PieceEncoder(ChunkCache):
         self.said = np.frombuffer(b"".join(said), np.uint8)
         self.said_at = np.concatenate(([0], np.cumsum([len(x) for x in said])))
 
-        # Pieces by length for the search: big-endian keys of their first 8 and next 8 bytes
+        # Pieces for the search: big-endian keys of 8 bytes after 8 bytes, the least and the largest that begin like the piece
         ids = np.flatnonzero(self.normal)
         raw = [said[i] for i in ids]
         self.search_ids = ids
-        self.search_raw = raw
         self.search_len = np.array([len(r) for r in raw])
-        self.low, self.high, self.low2, self.high2 = (np.array([int.from_bytes((r[k : k + 8]).ljust(8, pad), "big") for r in raw], U) for k, pad in ((0, b"\0"), (0, b"\xff"), (8, b"\0"), (8, b"\xff")))
+        self.steps = max(1, -(-int(self.search_len.max(initial=1)) // 8))
+        keys = lambda pad: [np.array([int.from_bytes(r[8 * k : 8 * k + 8].ljust(8, pad), "big") for r in raw], U) for k in range(self.steps)]
+        self.low, self.high = keys(b"\0"), keys(b"\xff")
 
         near = np.zeros((128, 128), bool)
         for r in raw:
@@ -116,28 +117,47 @@ class PieceEncoder(ChunkCache):
     def _edges(self, data: np.ndarray, unit_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, ids): every occurrence of every piece inside a unit, by the suffix array of the text."""
         n = len(data)
-        wide = np.concatenate([data, np.zeros(16, np.uint8)]).astype(U)
-        key = np.zeros(n + 8, U)
+        reach = 8 * self.steps
+        wide = np.concatenate([data, np.zeros(reach, np.uint8)]).astype(U)
+        key = np.zeros(n + reach - 8, U)
         for k in range(8):
-            key |= wide[k : k + n + 8] << U(56 - 8 * k)
-        first, then = key[:n], key[8:]
-        suffixes = np.lexsort((then, first))  # pieces have no use for an order beyond 16 bytes
-        first, then = first[suffixes], then[suffixes]
-        lo, hi = np.searchsorted(first, self.low), np.searchsorted(first, self.high, "right")
-        for k in np.flatnonzero((self.search_len > 8) & (hi > lo)):
-            part = then[lo[k] : hi[k]]
-            lo[k], hi[k] = lo[k] + np.searchsorted(part, self.low2[k]), lo[k] + np.searchsorted(part, self.high2[k], "right")
+            key |= wide[k : k + n + reach - 8] << U(56 - 8 * k)
+        suffixes = self._ordered(key, n)
+        at = lambda k: key[suffixes + 8 * k]
+        first = at(0)
+        lo, hi = np.searchsorted(first, self.low[0]), np.searchsorted(first, self.high[0], "right")
+        for step in range(1, self.steps):  # the range of a longer piece is narrowed by its next 8 bytes
+            longer = np.flatnonzero((self.search_len > 8 * step) & (hi > lo))
+            if not len(longer):
+                break
+            then = at(step)
+            for k in longer:
+                part = then[lo[k] : hi[k]]
+                lo[k], hi[k] = lo[k] + np.searchsorted(part, self.low[step][k]), lo[k] + np.searchsorted(part, self.high[step][k], "right")
         count = hi - lo
         place = suffixes[ragged(lo, count)]
         which = np.repeat(np.arange(len(count)), count)
         inside = place + self.search_len[which] <= unit_end[place]
-        place, which = place[inside], which[inside]
-        for k in np.flatnonzero((self.search_len > 16) & (count > 0)):
-            raw = self.search_raw[k]
-            mine = np.flatnonzero(which == k)
-            wrong = [i for i in mine if data[place[i] : place[i] + len(raw)].tobytes() != raw]
-            place, which = np.delete(place, wrong), np.delete(which, wrong)
-        return place, self.search_ids[which]
+        return place[inside], self.search_ids[which[inside]]
+
+    def _ordered(self, key: np.ndarray, n: int) -> np.ndarray:
+        """The suffix array: places in the order of what follows them, as far as the longest piece reaches.
+
+        The first 8 bytes order most; places that are equal so far are ordered by the next 8, and so on.
+        """
+        suffixes = np.argsort(key[:n], kind="stable")
+        new = np.append(True, np.diff(key[suffixes]) != 0)
+        for step in range(1, self.steps):
+            tied = np.flatnonzero(~new | np.append(~new[1:], False))
+            if not len(tied):
+                break
+            run = np.cumsum(new)[tied]
+            here = suffixes[tied]
+            order = np.lexsort((key[here + 8 * step], run))
+            suffixes[tied] = here = here[order]
+            value = key[here + 8 * step]
+            new[tied] = np.append(True, (np.diff(run) != 0) | (np.diff(value) != 0))
+        return suffixes
 
     def _lattice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in order, how many each has)."""
@@ -284,7 +304,8 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Rows (id, n_ids, ids_crc32, decoded_crc32, same): whole texts encoded and decoded again in one pass.
 
     ids_crc32 is that of the ids as little-endian unsigned 32-bit numbers, decoded_crc32 that of the decoded text in
-    UTF-8; same tells whether it equals the text. Null texts count as empty.
+    UTF-8; same tells whether it equals the text. Null and empty texts have no ids and are the same again. Very long texts are slices of their
+    own. Rows are coded one by one, whether ids are null or repeated. An empty table gives an empty result; other columns are ignored.
     """
     schema = pa.schema([("id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_crc32", pa.int64()), ("same", pa.bool_())])
 

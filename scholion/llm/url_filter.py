@@ -7,7 +7,9 @@ probed by one vectorised binary search over the candidates of all its URLs, and
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
+from .kernels import ragged
 
+#: Strings that a list taken from a table may have: they are gathered on the driver, which writes the file.
+MOST_LISTED = 50_000_000
 _open: dict[str, "DigestArray"] = {}
 
 
@@ -47,17 +52,31 @@ class DigestArray:
         """The place of each string, -1 where it isn't listed."""
         raw = [s.encode("utf-8", "surrogatepass") for s in strings]
         keys = np.fromiter((xxhash.xxh64_intdigest(s) for s in raw), np.uint64, len(raw))
-        at = np.searchsorted(self.keys, keys)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([0, *(len(s) for s in raw)])
         out = np.full(len(raw), -1, np.int64)
-        for k in np.flatnonzero(at < len(self.keys)):
-            i = int(at[k])
-            while i < len(self.keys) and self.keys[i] == keys[k]:  # equal digests of different strings stand side by side
-                if self.strings[int(self.offsets[i]) : int(self.offsets[i + 1])].tobytes() == raw[k]:
-                    out[k] = i
-                    break
-                i += 1
+        at = np.searchsorted(self.keys, keys)
+        left = np.flatnonzero(at < len(self.keys))
+        while len(left):  # equal digests of different strings stand side by side, so a few steps at most
+            left = left[self.keys[at[left]] == keys[left]]
+            same = self._equal(at[left], data, ends[left], ends[left + 1])
+            out[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < len(self.keys)]
         return out
 
+    def _equal(self, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the strings stored at these places are data[starts:ends]."""
+        own = self.offsets[at].astype(np.int64)
+        size = ends - starts
+        same = (self.offsets[at + 1].astype(np.int64) - own) == size
+        check = np.flatnonzero(same & (size > 0))
+        if len(check):
+            differ = self.strings[ragged(own[check], size[check])] != data[ragged(starts[check], size[check])]
+            same[check] = ~np.logical_or.reduceat(differ, np.cumsum(size[check]) - size[check])
+        return same
+
     def string(self, i: int) -> str:
         return self.strings[int(self.offsets[i]) : int(self.offsets[i + 1])].tobytes().decode()
 
@@ -78,32 +97,44 @@ def _open_once(name: str) -> DigestArray:
     return _open[name]
 
 
+def listed(table: DataFrame, column: str, blocks: bool = True) -> list[tuple[str, bool]]:
+    """The entries of a list kept as a table; nulls don't count. Its size is checked before it is gathered on the driver."""
+    names = table.select(F.col(f"`{column}`").alias("s")).where("s IS NOT NULL").distinct()
+    n = names.count()
+    if n > MOST_LISTED:
+        raise ValueError(f"{n} strings are listed, {MOST_LISTED} at most can be")
+    return [(s, blocks) for s in names.toArrow().column(0).to_pylist()]
+
+
 def _ship(spark, entries: Iterable[tuple[str, bool]]) -> str:
+    """Write the file on the driver, from where Spark's file server hands it to executors as long as the application lasts."""
     name = f"urls-{uuid.uuid4().hex}.bin"
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), name)
-    DigestArray.write(path, entries)
-    spark.sparkContext.addFile(path)
+    folder = os.path.realpath(tempfile.mkdtemp())
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    DigestArray.write(os.path.join(folder, name), entries)
+    spark.sparkContext.addFile(os.path.join(folder, name))
     return name
 
 
 def filter_urls(
-    pages: DataFrame, rules: Iterable[tuple[str, bool]], blocked_hosts: Iterable[str] = (), id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame, rules: Iterable[tuple[str, bool]], blocked_hosts: Iterable[str] | DataFrame = (), id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
     """Rows (id, host, path, rule, verdict), one for each input row.
 
     rules: ("example.com/en/", blocks). A rule fits its host and all subdomains if the path starts with the rule's; the
-    longest one wins. Without a rule, a URL is blocked if its host or a parent domain is in blocked_hosts and allowed
-    otherwise. Null urls and those without "://" have an empty host and path, which no rule fits. Repeated rows are each
+    longest one wins. Without a rule, a URL is blocked if its host or a parent domain is in blocked_hosts (names, or a table
+    whose first column has them) and allowed otherwise. Very long urls are judged whole. Null urls and those without "://" have an empty host and path, which no rule fits. Repeated rows are each
     judged; an empty table gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
     rules = list(rules)
     assert all("/" in r for r, _ in rules), "a rule is a host and a path, as example.com/en/"
-    rule_file, host_file = _ship(spark, rules), _ship(spark, ((h, True) for h in blocked_hosts))
+    hosts = listed(blocked_hosts, blocked_hosts.columns[0]) if isinstance(blocked_hosts, DataFrame) else [(h, True) for h in blocked_hosts]
+    rule_file, host_file = _ship(spark, rules), _ship(spark, hosts)
     lengths = sorted({len(r) - r.index("/") for r, _ in rules}, reverse=True)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, hosts = _open_once(rule_file), _open_once(host_file)
+        in_rules, in_hosts = _open_once(rule_file), _open_once(host_file)
         for b in batches:
             probes, owner, ask, asker = [], [], [], []
             for k, (host, path) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
@@ -124,14 +155,14 @@ def filter_urls(
                     at = dot + 1
             rule: list[str | None] = [None] * b.num_rows
             verdict = ["allow"] * b.num_rows
-            found = hosts.find(ask)
+            found = in_hosts.find(ask)
             for j in np.flatnonzero(found >= 0):
                 verdict[asker[j]] = "block"
-            hit = listed.find(probes)
+            hit = in_rules.find(probes)
             for j in np.flatnonzero(hit >= 0):
                 k, text = owner[j], probes[j]
                 if rule[k] is None or len(text) > len(rule[k]):
-                    rule[k], verdict[k] = text, "block" if listed.verdicts[hit[j]] else "allow"
+                    rule[k], verdict[k] = text, "block" if in_rules.verdicts[hit[j]] else "allow"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["id", "host", "path", "rule", "verdict"])
 
     host, path = split_url(f"`{url_col}`")

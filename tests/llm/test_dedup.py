@@ -8,6 +8,7 @@ from helpers import DATA, values
 from pyspark.sql import functions as F
 
 from scholion.llm import queries as q
+from scholion.llm.common import written
 from scholion.llm.components import components
 from scholion.llm.exact_dedup import exact_dedup
 from scholion.llm.jaccard_join import Tree, jaccard_components
@@ -37,6 +38,37 @@ def test_exact_dedup_edges(spark, empty):
     assert got == sorted([(1, 1, 3, True), (1, 1, 3, False), (1, 1, 1, True), (None, 1, 3, False), (2, 2, 2, True), (3, 2, 2, False), (4, 4, 1, True)], key=str)
 
 
+def test_exact_dedup_keys_and_digests(spark):
+    """Rows with repeated and null ids: one row out for each, in the query too."""
+    import hashlib
+
+    rows = [(i, f"text {i}") for i in range(60)] + [(5, "text 5")] * 3 + [(5, "other")] * 2 + [(None, "text 1")] * 2 + [(None, None)] * 2
+    d = spark.createDataFrame([(i, t, "x", k, True) for k, (i, t) in enumerate(rows)], "doc_id long, text string, sha string, row_key long, shared boolean").repartition(4)
+    got = exact_dedup(d, key_col="row_key", digest=True).collect()
+    assert sorted(r["row_key"] for r in got) == list(range(len(rows)))
+    assert all(r["text_sha256"] == hashlib.sha256((rows[r["row_key"]][1] or "").encode()).hexdigest() for r in got)
+    kept = Counter(rows[r["row_key"]][1] or "" for r in got if r["kept"])
+    assert set(kept.values()) == {1} and len(kept) == 62
+    assert {r["keep_id"] for r in got if rows[r["row_key"]][1] == "text 1"} == {1}
+
+
+def test_exact_dedup_query_with_repeated_ids(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(60)] + [(5, "text 5")] * 3 + [(5, "other")] * 2 + [(None, "text 1")] * 4
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert q.op7_exact_dedup(spark, str(tmp_path)).count() == len(rows)
+
+
+def test_full_hash_only_of_survivors(spark, monkeypatch):
+    """Without digests, only documents that share length and prefix with another are hashed in full."""
+    from scholion.llm import exact_dedup as module
+
+    seen = {}
+    monkeypatch.setattr(module, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    d = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other"), (4, "longer text")], "doc_id long, text string")
+    exact_dedup(d).collect()
+    assert "sha" not in seen["dedup-heads"].columns and seen["dedup-hashes"].where("sha IS NOT NULL").count() == 2
+
+
 def plain_components(rows, n, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

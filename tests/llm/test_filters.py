@@ -36,17 +36,49 @@ def test_base_measures(docs, texts):
     assert got == {i: plain_base(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-def test_line_frequency(spark, broadcast_rows):
-    nav = "Home | About  us"
-    rows = [(i, f"{nav}\nunique text number {i} with some more words" if i < 30 else f"{nav}\n{nav.lower()}\nx{i}" if i < 40 else "only own words here", "a") for i in range(60)] + [(100, nav, "b"), (101, None, "b"), (102, nav, None)]
+def plain_frequency(rows, share, least, remain):
+    """(id, kept by lines alone) by counting in plain Python; each row is a document."""
+    lines = [[re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ") for x in (t or "").split("\n")] for _, t, _ in rows]
+    lines = [[x for x in ls if x] for ls in lines]
+    docs = Counter(s for (_, _, s), ls in zip(rows, lines, strict=True) if ls)
+    count = Counter((s, x) for (_, _, s), ls in zip(rows, lines, strict=True) for x in set(ls))
+    out = []
+    for (i, _, s), ls in zip(rows, lines, strict=True):
+        hit = [x for x in ls if count[s, x] > least and count[s, x] > share * docs[s]]
+        total, gone = (sum(len(x.split(" ")) for x in some) for some in (ls, hit))
+        out.append((i, len(ls), len(hit), total, gone, bool(hit) and (total - gone < remain * total or total - gone < 10)))
+    return sorted(out, key=str)
+
+
+def test_line_frequency(spark):
+    nav, own = "Home | About  us", "unique text number {} with some more words of its own"
+    rows = [(i, f"{nav}\n{own.format(i)}" if i < 30 else f"{nav}\n{nav.lower()}\nx{i}" if i < 40 else "only own words here", "a") for i in range(60)] + [(100, nav, "b"), (101, None, "b"), (102, nav, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
-    got = {r["doc_id"]: r for r in rules.quality_rules(d, least=25, share=0.1, broadcast_rows=broadcast_rows).collect()}
+    got = {r["doc_id"]: r for r in rules.quality_rules(d, least=25, share=0.1).collect()}
     assert not any(got[i]["depleted"] for i in range(30)) and all(got[i]["depleted"] for i in range(30, 40))
     assert not got[100]["depleted"] and not got[101]["kept"] and not got[102]["depleted"]
-    found = rules.line_frequency(d, least=25, share=0.1, broadcast_rows=broadcast_rows)
-    clean = {r["doc_id"]: r["clean_text"] for r in rules.clean_texts(d, found).collect()}
-    assert clean[3] == "unique text number 3 with some more words" and clean[35] == "x35" and clean[100] == nav and clean[101] == ""
+    clean = {r["doc_id"]: r["clean_text"] for r in rules.clean_texts(d, least=25, share=0.1).collect()}
+    assert clean[3] == own.format(3) and clean[35] == "x35" and clean[100] == nav and clean[101] == ""
+    found = [tuple(r) for r in rules.line_frequency(d, least=25, share=0.1).collect()]
+    assert sorted(found, key=str) == plain_frequency(rows, 0.1, 25, 0.5)
+
+
+def test_rows_are_judged_by_themselves(spark):
+    """Rows without an id or with a shared one don't meet each other's lines."""
+    nav = "the same line of navigation on every page of this host"
+    clean = "a clean document of more than ten words that stands for itself alone {}"
+    rows = [(None if i % 2 else 7, f"{nav}\nx{i}" if i < 20 else clean.format(i), "h") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = rules.quality_rules(d).collect()
+    assert len(got) == 40 and sum(r["kept"] for r in got) == 20 and all(r["kept"] != r["depleted"] for r in got)
+    assert sorted((tuple(r) for r in rules.line_frequency(d).collect()), key=str) == plain_frequency(rows, rules.SHARE, rules.LEAST_DOCS, rules.REMAIN)
+    assert rules.clean_texts(d).count() == 40
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_lines_reject_documents_that_base_rules_keep(spark, sf):
+    got = rules.quality_rules(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("NOT base_failed AND NOT kept").collect()
+    assert got and all(r["depleted"] and r["frequent_words"] > 0 for r in got)
 
 
 def test_quality_rules_edges(empty, docs, texts):
@@ -54,10 +86,25 @@ def test_quality_rules_edges(empty, docs, texts):
     assert sorted(r["doc_id"] for r in rules.quality_rules(docs).collect()) == list(range(len(texts)))
 
 
-def test_native_plans(spark):
-    for name in ("op4_sharding", "op6_quality_rules"):
-        plan = q.QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
-        assert not re.search("Python|Pandas|Arrow(?!Eval)", plan)
+@pytest.mark.parametrize("name", ["op4_sharding", "op6_quality_rules"])
+def test_native_plans(spark, name, monkeypatch):
+    """Neither the plan nor the lineage of what runs has Python in it, in the result and in all tables written before."""
+    from scholion.llm import common, quality_rules, sharding
+
+    seen = []
+
+    def noted(df, *a):
+        seen.append(df)
+        return common.written(df, *a)
+
+    for m in (quality_rules, sharding):
+        monkeypatch.setattr(m, "written", noted)
+    seen.append(q.QUERIES[name](spark, DATA))
+    assert len(seen) > 3
+    for df in seen:
+        run = df._jdf.queryExecution()
+        assert not re.search("Python|Pandas|Arrow(?!Eval)", run.toString())
+        assert "PythonRDD" not in run.toRdd().toDebugString()
 
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -95,6 +142,15 @@ def test_digests_are_confirmed(tmp_path, monkeypatch):
     assert [bool(d.verdicts[i]) for i in at if i >= 0] == [False, False, True]
 
 
+def test_long_lists(spark):
+    """A million listed hosts, taken from a table; the few that are asked for are found."""
+    names = spark.range(1_000_000).select(F.concat(F.lit("host"), F.col("id").cast("string"), F.lit(".example.org")).alias("host"), F.lit(1).alias("n"))
+    urls = [f"http://a.host{k}.example.org/x" for k in (0, 5, 999_999)] + ["http://host1000000.example.org/", "http://example.org/", None]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(d, [], names.unionByName(names.limit(3)).unionByName(spark.createDataFrame([(None, 1)], "host string, n int"))).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
 def check_shards(rows, texts, shards):
     assert sorted(r["doc_id"] for r in rows) == sorted(texts)
     loads = Counter({s: 0 for s in range(shards)})
@@ -122,6 +178,26 @@ def test_shards_with_a_hot_text(spark):
     assert max(loads.values()) <= 1.03 * mean and min(loads.values()) >= 0.97 * mean
 
 
+def test_shards_of_equal_rows(spark):
+    """Thousands of rows equal in text and id, or without an id, are subdivided all the same."""
+    d = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.lit(1)).cast("long").alias("doc_id"), F.lit("the same text in every row").alias("text"), F.col("id").alias("row")).repartition(5)
+    rows = shard(d, 8).collect()
+    count = Counter(r["shard"] for r in rows)
+    assert len(rows) == 9000 and len({(r["shard"], r["slot"]) for r in rows}) == 9000 and max(count.values()) <= 1.05 * 9000 / 8
+
+
+def test_shards_with_records_around_the_edge(spark):
+    """Records just below and above the size that is placed first."""
+    texts = {i: "x" * (400 if i < 20 else 20 + i % 7) for i in range(1500)}
+    total = sum(len(t) + 16 for t in texts.values())
+    for extra in (-1, 0, 1):
+        size = total // (4 * 64) - 16 + extra
+        some = texts | {2000 + k: "y" * size for k in range(5)}
+        d = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(3)
+        loads = check_shards(shard(d, 4).collect(), some, 4)
+        assert max(loads.values()) <= 1.05 * sum(loads.values()) / 4
+
+
 def test_shards_edges(spark, empty):
     assert shard(empty, 3).count() == 0
     d = spark.createDataFrame([(None, None), (None, None), (1, "x"), (1, "x"), (2, "y" * 5000)], "doc_id long, text string")
@@ -156,6 +232,42 @@ def test_marginals_are_those_of_all_labellings():
         assert np.allclose(good[first[d] : first[d + 1]], each / total) and np.isclose(norm[d], np.log(total))
 
 
+def test_gradient_is_that_of_the_likelihood():
+    """Finite differences of the chains' own likelihood, by some weights and by the score of equal neighbours."""
+    texts = ["a b c\nd e\n!!! ###\nlong words here indeed", "x", "UP UP\n1234\n1234", "good text in a line\nmore of it\nand more"]
+    features, _, first = crf.line_features(pa.array(texts))
+    target = crf.Likelihood(features, first, np.array([1, 0, 0, 1]), np.array([0.25, 0.4, 0.1, 0.25]))
+    r = np.random.default_rng(4)
+    weights, stay, step = r.normal(size=crf.WIDTH), 0.8, 1e-5
+    g = target.gradient(weights, stay)
+    for k in [*np.unique(features[features >= 0])[::5], crf.WIDTH - 1]:
+        d = np.zeros(crf.WIDTH)
+        d[k] = step
+        assert np.isclose((target.value(weights + d, stay) - target.value(weights - d, stay)) / (2 * step), g[k], atol=1e-7)
+    assert np.isclose((target.value(weights, stay + step) - target.value(weights, stay - step)) / (2 * step), g[-1], atol=1e-7)
+
+
+def test_agreement_of_neighbours():
+    good, agree, _ = crf.chains(np.zeros(5), np.array([0, 2, 5]), 1.0)
+    assert np.allclose(agree[[1, 3, 4]], 1 / (1 + np.exp(-1))) and agree[0] == agree[2] == 0 and np.allclose(good, 0.5)
+
+
+def test_training_texts_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(1, 80)] + [(3, "again " * 90)] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 80)], "doc_id long, quality int")
+    seen = []
+
+    def fit(texts, y):
+        seen.append((len(texts), texts.nbytes))
+        return crf.Model(np.zeros(crf.WIDTH), 1.0)
+
+    import unittest.mock
+
+    with unittest.mock.patch.object(crf, "fit", fit):
+        crf.train(docs, labels, most=10, most_bytes=5500)
+    assert seen[0][0] <= 10 and 0 < seen[0][1] <= 6000
+
+
 def test_line_features_of_edges():
     f, length, first = crf.line_features(pa.array(["a b\n\n  \nc!", None, "", "\n", "x\nx\n", "UP %% é"]))
     assert np.diff(first).tolist() == [2, 1, 1, 1, 2, 1] and f.max() < crf.WIDTH and (length > 0).all()
@@ -175,8 +287,10 @@ def test_classifier(spark):
 def test_classifier_edges(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, None), (None, 1), (4, 7)], "doc_id long, quality int")
     m = crf.train(docs, labels)
-    kept = crf.score(docs.withColumn("score", F.lit("x")), m, keep=True)
-    assert kept.count() == docs.count() and set(kept.columns) == {*docs.columns, "score", "predicted"}
+    kept = crf.score(docs.withColumn("score", F.lit("x")), m, keep=True, names=("s", "p"))
+    assert kept.count() == docs.count() and kept.columns == [*docs.columns, "score", "s", "p"] and {r["score"] for r in kept.collect()} == {"x"}
+    with pytest.raises(AssertionError):
+        crf.score(docs.withColumn("Score", F.lit("x")), m, keep=True)
     assert crf.score(empty, m).count() == 0
     for few in (labels.limit(0), labels.where("doc_id = 1")):
         assert crf.score(docs, crf.train(docs, few)).count() == docs.count()

@@ -7,10 +7,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import DATA
+from pyspark.sql import functions as F
 
 from scholion.llm import queries as q
 from scholion.llm import sentencepieces as sp
 from scholion.llm import tokens
+from scholion.llm.common import written
 from scholion.llm.orc_tokens import read_tokens, summaries, write_tokens
 from scholion.llm.packing import pack, pack_texts, plan
 
@@ -97,6 +99,37 @@ def test_orc_tokens_edges(spark, empty, tmp_path):
     assert got == [(0, None, 3), (3, 5, 2), (5, 5, 2), (7, 7, 1)]
 
 
+def test_orc_files_skip_what_is_not_asked(spark, tmp_path):
+    """Row groups that can't hold an id are not read, and rows of one id may lie in several files."""
+    from pyarrow import orc
+
+    d = spark.range(20_000).select((F.col("id") * 2).alias("doc_id"), F.lit("a b c").alias("text")).repartition(3)
+    folder = str(tmp_path / "orc")
+    write_tokens(d, folder, BPE)
+    plan = read_tokens(spark, folder, [6])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [EqualTo(doc_id,6)]" in plan or "PushedFilters: [In(doc_id" in plan or "doc_id,6" in plan
+    read = read_tokens(spark, folder, [6])
+    assert read.count() == 1
+    spans = sorted((t["doc_id"].to_numpy().min(), t["doc_id"].to_numpy().max()) for t in (orc.read_table(str(f), columns=["doc_id"]) for f in (tmp_path / "orc").glob("*.orc")) if t.num_rows)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    one = d.select(F.lit(9).cast("long").alias("doc_id"), F.concat("text", F.lit(" "), (F.col("doc_id") % 11).cast("string")).alias("text"))
+    write_tokens(one, str(tmp_path / "one"), BPE)
+    got = sorted((r["start"], r["n_tokens"]) for r in summaries(spark, str(tmp_path / "one")).collect())
+    assert len(got) == 20_000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False))
+
+
+def test_long_pieces_are_found_by_the_suffix_array():
+    """Pieces beyond 16 bytes, in texts that repeat their beginnings."""
+    from sentencepiece import SentencePieceProcessor
+
+    lib, m = SentencePieceProcessor(model_file=PIECES), sp.PieceEncoder(PIECES)
+    long = sorted((p.replace("▁", " ") for i, p in enumerate(m.pieces) if m.normal[i]), key=lambda p: -len(p.encode()))[:200]
+    assert len(long[0].encode()) > 16
+    texts = [p + q[:k] for k, (p, q) in enumerate(zip(long, long[1:], strict=False), 1)] + [p[:-1] for p in long] + ["".join(long)]
+    ids, o = m.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(o, o[1:], strict=False)] == [lib.encode(t) for t in texts]
+
+
 def test_orc_query(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
     at = 0
@@ -160,6 +193,18 @@ def test_pack_edges(spark, empty):
     assert len(rows) == 4 and whole_sequences(rows, 10) == 2 and {r["base"] for r in rows} == {"keep", "a", None}
 
 
+def test_pack_lengths_that_most_pieces_share(spark, monkeypatch):
+    """Many full pieces and many of one length, in more parts than one."""
+    monkeypatch.setattr("scholion.llm.packing.PART_ROWS", 20)
+    n = 3000
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 3 == 0, 64).when(F.col("id") % 3 == 1, 20).otherwise(F.col("id") % 60 + 1).cast("long").alias("length"))
+    rows = pack(written(d, "pieces-test"), 64).collect()
+    assert len(rows) == n and {r["doc_id"] for r in rows} == set(range(n))
+    assert whole_sequences(rows, 64) <= sum(r["length"] for r in rows) / 64 * 1.02 + 1
+    with pytest.raises(AssertionError):
+        pack(spark.createDataFrame([(1, 0, 65)], "doc_id long, piece int, length long"), 64)
+
+
 def test_pack_query(spark):
     rows = q.op8_best_fit_packing(spark, DATA).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
