@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, scratch, tidy
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Self loops and repeated edges do no harm; a graph without edges gives an empty result.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, mark = _settled(e)
+    e, mark, path = _settled(e)
     for _ in range(rounds):
         if not mark[0]:
             break
@@ -27,7 +27,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e, now = _settled(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        before = path
+        e, now, path = _settled(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        discard(edges.sparkSession, before)
         if now == mark:
             break
         mark = now
@@ -36,7 +38,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _settled(e: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges, written, and marks by which equal sets of edges are told."""
-    e = written(e, "edges")
-    return e, tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first())
+def _settled(e: DataFrame) -> tuple[DataFrame, tuple, str]:
+    """The edges, written, marks by which equal sets of edges are told, and where they are."""
+    spark, path = e.sparkSession, scratch(e.sparkSession, "edges")
+    with tidy(spark):
+        e.write.parquet(path)
+    e = spark.read.schema(e.schema).parquet(path)
+    return e, tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()), path

@@ -16,15 +16,15 @@ bundle, and no pair of documents is ever formed. The answer to a question is one
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bundles
-from .bundles import BUNDLE
+from .bundles import own, parts_of
 from .common import written
 from .kernels import U, ngrams, owners, ragged, span_hashes, text_buffers, word_spans
 
@@ -46,12 +46,6 @@ def _unpack(raw: memoryview, n: int) -> tuple[np.ndarray, int]:
     return np.cumsum(np.concatenate(([first], gaps)), dtype=U), 9 + width * (n - 1)
 
 
-def _parts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of the buckets in sorted keys; a bucket is an interval of the key space."""
-    edges = np.array([(k << BITS) // buckets for k in range(buckets)], U)
-    return np.append(np.searchsorted(keys, edges), len(keys))
-
-
 class Bundle:
     """Words of the texts of one bundle."""
 
@@ -157,59 +151,61 @@ def _open(b: pa.RecordBatch, k: int, window: int, block: int) -> Bundle:
 
 
 def _with_answers(stored: DataFrame, answers: DataFrame) -> DataFrame:
-    return bundles.joined(stored, answers.groupBy("b").agg(F.collect_list(F.struct("chunk", "round", "hb", "bits")).alias("answers")), "answers")
+    """Each bundle with the answers to it: one bit for each of its questions, so no more than the bundle is large."""
+    return bundles.joined(stored, answers.groupBy("b").agg(F.collect_list(F.struct("round", "hb", "bits")).alias("answers")))
 
 
-def _read_answers(answers: pa.Scalar, round_: int, sizes: np.ndarray) -> np.ndarray:
-    """The bits for all questions of a bundle, in the order of its keys."""
-    out = np.zeros(int(sizes.sum()), bool)
-    at = np.concatenate(([0], np.cumsum(sizes)))
+def _read_answers(answers: pa.Scalar, round_: int, parts: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The bits for all questions of a bundle, in the order of its keys; parts and cut are those of the questions."""
+    out = np.zeros(int(cut[-1]), bool)
     if answers.is_valid:
         v = answers.values
         mine = np.flatnonzero(v.field("round").to_numpy() == round_)
         hbs, bits = v.field("hb").to_numpy(), v.field("bits")
-        for k in mine:
-            hb = hbs[k]
-            out[at[hb] : at[hb + 1]] = np.unpackbits(np.frombuffer(bits[int(k)].as_buffer(), np.uint8), count=int(sizes[hb])).astype(bool)
+        for k, at in zip(mine, np.searchsorted(parts, hbs[mine]), strict=True):
+            out[cut[at] : cut[at + 1]] = np.unpackbits(np.frombuffer(bits[int(k)].as_buffer(), np.uint8), count=int(cut[at + 1] - cut[at])).astype(bool)
     return out
 
 
-ASK = "hb int, b int, chunk int, n int, payload binary"
-ANSWER = "b int, chunk int, round int, hb int, bits binary"
-ASK_SCHEMA = pa.schema([("hb", pa.int32()), ("b", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
-ANSWER_SCHEMA = pa.schema([("b", pa.int32()), ("chunk", pa.int32()), ("round", pa.int32()), ("hb", pa.int32()), ("bits", pa.binary())])
+ASK = "hb int, b long, n int, payload binary"
+ANSWER = "b long, round int, hb int, bits binary"
+ASK_SCHEMA = pa.schema([("hb", pa.int32()), ("b", pa.int64()), ("n", pa.int32()), ("payload", pa.binary())])
+ANSWER_SCHEMA = pa.schema([("b", pa.int64()), ("round", pa.int32()), ("hb", pa.int32()), ("bits", pa.binary())])
+
+
+def _asked(batch: pa.RecordBatch, k: int, parts: np.ndarray, cut: np.ndarray, load: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), own(batch, k, len(parts)), pa.array(np.diff(cut), pa.int32()), pa.array(load, pa.binary())], schema=ASK_SCHEMA)
 
 
 def _answered(t: pa.Table, counts: list[int], bits: np.ndarray, round_: int) -> pa.Table:
     at = np.concatenate(([0], np.cumsum(counts)))
     packed = [np.packbits(bits[a:z]).tobytes() for a, z in zip(at, at[1:], strict=False)]
-    return pa.Table.from_arrays([t.column("b"), t.column("chunk"), pa.array([round_] * t.num_rows, pa.int32()), t.column("hb"), pa.array(packed, pa.binary())], schema=ANSWER_SCHEMA)
+    return pa.Table.from_arrays([t.column("b"), pa.array([round_] * t.num_rows, pa.int32()), t.column("hb"), pa.array(packed, pa.binary())], schema=ANSWER_SCHEMA)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, layout: bool = False) -> DataFrame:
-    """Rows (id, text_crc32, n_words, n_removed, kept_text, removed), one for each input row; text_crc32 is that of its text.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, layout: bool = False, carry: bool = False) -> DataFrame:
+    """Rows (id, n_words, n_removed, kept_text, removed), one for each input row; with carry, (row, n_words, n_removed), too.
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller id; windows are
     judged on the input. kept_text has the words that stay, joined by one space; with layout, it is the text without the
-    removed words and the white space after them. `removed` lists maximal repeats as first word and word after the last. Null and empty texts have
-    no words. Rows with a null id keep all words and take none from others. Rows that share an id are one document, which takes
-    nothing from itself. Texts shorter than a window keep all words. An empty table gives an empty result; other columns
-    are ignored.
+    removed words and the white space after them. `removed` lists maximal repeats as first word and word after the last. With
+    carry, `row` is a struct of all columns of the input with the kept text in place of its text, null where that was null;
+    nothing is joined, so rows need no key. Null and empty texts have no words. Rows with a null id keep all words and take
+    none from others. Rows that share an id are one document, which takes nothing from itself. Texts shorter than a window
+    keep all words; a very long one is a bundle of its own. An empty table gives an empty result; other columns are ignored.
     """
     block = (window + 1) // 2
-    stored = bundles.store(docs, id_col, text_col, "substring_bundles")
-    buckets = max(12, bundles.text_bytes(stored) // (4 * BUNDLE))
+    stored = bundles.store(docs, id_col, text_col, "substring_bundles", carry)
+    n_parts = bundles.parts(stored)
+    names = list(docs.columns)
 
     def ask(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
         x = _open(batch, k, window, block)
         _, keys, which = x.questions()
         is_block, shared = x.marks(keys, which)
-        cut = _parts(keys, buckets)
-        full = np.flatnonzero(np.diff(cut))
-        rows = [(cut[h], cut[h + 1]) for h in full]
-        load = [_pack(keys[a:z]) + np.packbits(is_block[a:z]).tobytes() + np.packbits(shared[a:z]).tobytes() for a, z in rows]
-        me = [bundles.own(batch, k, c, len(rows)) for c in ("b", "chunk")]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *me, pa.array([z - a for a, z in rows], pa.int32()), pa.array(load, pa.binary())], schema=ASK_SCHEMA)
+        parts, cut = parts_of(keys, n_parts, BITS)
+        load = [_pack(keys[a:z]) + np.packbits(is_block[a:z]).tobytes() + np.packbits(shared[a:z]).tobytes() for a, z in zip(cut, cut[1:], strict=False)]
+        return _asked(batch, k, parts, cut, load)
 
     def anchors(t: pa.Table) -> pa.Table:
         counts = t.column("n").to_pylist()
@@ -233,14 +229,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def extend(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
         x = _open(batch, k, window, block)
         _, keys, which = x.questions()
-        hit = _read_answers(batch.column("answers")[k], 1, np.diff(_parts(keys, buckets)))
+        hit = _read_answers(batch.column("answers")[k], 1, *parts_of(keys, n_parts, BITS))
         _, keys, second, low, _ = x.candidates(hit[which])
-        cut = _parts(keys, buckets)
-        full = np.flatnonzero(np.diff(cut))
-        rows = [(cut[h], cut[h + 1]) for h in full]
-        load = [_pack(keys[a:z]) + second[a:z].astype("<u8").tobytes() + _pack_ids(low[a:z]) for a, z in rows]
-        me = [bundles.own(batch, k, c, len(rows)) for c in ("b", "chunk")]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *me, pa.array([z - a for a, z in rows], pa.int32()), pa.array(load, pa.binary())], schema=ASK_SCHEMA)
+        parts, cut = parts_of(keys, n_parts, BITS)
+        load = [_pack(keys[a:z]) + second[a:z].astype("<u8").tobytes() + _pack_ids(low[a:z]) for a, z in zip(cut, cut[1:], strict=False)]
+        return _asked(batch, k, parts, cut, load)
 
     def compare(t: pa.Table) -> pa.Table:
         counts = t.column("n").to_pylist()
@@ -263,21 +256,31 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x = _open(batch, k, window, block)
         answers = batch.column("answers")[k]
         _, keys, which = x.questions()
-        hit = _read_answers(answers, 1, np.diff(_parts(keys, buckets)))
+        hit = _read_answers(answers, 1, *parts_of(keys, n_parts, BITS))
         places, keys, _, low, which = x.candidates(hit[which])
-        lost = _read_answers(answers, 2, np.diff(_parts(keys, buckets)))
+        lost = _read_answers(answers, 2, *parts_of(keys, n_parts, BITS))
         gone = x.removed(places[lost[which] | (x.ids[x.doc[places]] > low[which])] if len(places) else places)
-        ids = batch.column("ids")[k].values
         n = np.diff(x.first)
         taken = np.bincount(x.doc[gone], minlength=len(n)) if len(gone) else np.zeros(len(n), np.int64)
-        raw, o = memoryview(np.ascontiguousarray(x.data)), x.offsets.tolist()
-        crc = [zlib.crc32(raw[a:z]) for a, z in zip(o, o[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([ids, pa.array(crc, pa.int64()), pa.array(n, pa.int64()), pa.array(taken, pa.int64()), (x.cut(gone) if layout else x.kept(gone)).cast(pa.string()), x.spans(gone)], ["id", "text_crc32", "n_words", "n_removed", "kept_text", "removed"])
+        kept = (x.cut(gone) if layout else x.kept(gone)).cast(pa.string())
+        counts = [pa.array(n, pa.int64()), pa.array(taken, pa.int64())]
+        if not carry:
+            return pa.RecordBatch.from_arrays([batch.column("ids")[k].values, *counts, kept, x.spans(gone)], ["id", "n_words", "n_removed", "kept_text", "removed"])
+        others, null = bundles.carried(batch, k), bundles.opened(batch, k)[1].is_null()
+        if null.true_count:
+            kept = pc.if_else(null, pa.scalar(None, pa.string()), kept)
+        fields = dict(zip([f.name for f in others.type], others.flatten(), strict=True))
+        row = pa.StructArray.from_arrays([kept if c == text_col else fields[c] for c in names], names)
+        return pa.RecordBatch.from_arrays([row, *counts], ["row", "n_words", "n_removed"])
 
     first = written(bundles.apply(stored, ask, ASK).groupBy("hb").applyInArrow(anchors, ANSWER), "anchors")
     asked = bundles.apply(_with_answers(stored, first), extend, ASK)
     second = written(asked.groupBy("hb").applyInArrow(compare, ANSWER), "repeats")
-    done = bundles.apply(_with_answers(stored, first.unionByName(second)), remove, "id long, text_crc32 long, n_words long, n_removed long, kept_text string, removed array<struct<first: long, end: long>>")
+    both = _with_answers(stored, first.unionByName(second))
+    if carry:
+        as_text = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields]
+        return bundles.apply(both, remove, T.StructType([T.StructField("row", T.StructType(as_text)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    done = bundles.apply(both, remove, "id long, n_words long, n_removed long, kept_text string, removed array<struct<first: long, end: long>>")
     return done.withColumnRenamed("id", id_col)
 
 

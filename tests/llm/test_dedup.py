@@ -12,6 +12,7 @@ from scholion.llm.common import written
 from scholion.llm.components import components
 from scholion.llm.exact_dedup import exact_dedup
 from scholion.llm.jaccard_join import Tree, jaccard_components
+from scholion.llm.jaccard_join import useful as module_useful
 from scholion.llm.substring_dedup import substring_dedup
 
 
@@ -95,13 +96,57 @@ def test_jaccard(docs, texts, n, percent):
     assert got == plain_components(enumerate(texts), n, percent)
 
 
-def test_jaccard_small_cells(docs, texts, monkeypatch):
-    """Cells that are dealt in chunks find the same links."""
-    monkeypatch.setattr("scholion.llm.jaccard_join.CELL", 3)
+@pytest.mark.parametrize(("cell", "shingles"), [(3, 400_000), (1, 400_000), (512, 100)])
+def test_jaccard_small_cells(docs, texts, monkeypatch, cell, shingles):
+    """Cells that are split by shingles and dealt in chunks find the same links, whether classes or shingles are too many."""
+    monkeypatch.setattr("scholion.llm.jaccard_join.CELL", cell)
+    monkeypatch.setattr("scholion.llm.jaccard_join.SHINGLES", shingles)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()}
     assert got == plain_components(enumerate(texts), 4, 85)
 
 
+def test_jaccard_families_that_share_a_shingle(spark, monkeypatch):
+    """Many families of near copies whose rarest common shingle is the same: both rounds of chunks are needed."""
+    import random
+
+    monkeypatch.setattr("scholion.llm.jaccard_join.CELL", 5)
+    r, rows = random.Random(8), []
+    for f in range(12):
+        base = ["same", "words", "open", "all", *(f"f{f}w{k}" for k in range(30))]
+        for _ in range(9):
+            w = list(base)
+            w[r.randrange(20, 34)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    r.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_components(d, percent=70).collect()}
+    assert got == plain_components(rows, 4, 70)
+
+
+def test_jaccard_long_texts(spark, monkeypatch):
+    """Texts far beyond the others share a cell with short ones, and are chunks by themselves."""
+    monkeypatch.setattr("scholion.llm.jaccard_join.SHINGLES", 1000)
+    long = [f"w{k}" for k in range(30_000)]
+    rows = [(0, " ".join(long)), (1, " ".join([*long[:-5], "end"])), (2, " ".join(long[:100])), (3, " ".join([*long[:99], "z"])), (4, " ".join(long[:15_000]))]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+
+
+def test_useful_members():
+    """Members without a partner they could link with go, all others stay."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    for percent in (50, 80, 85):
+        group, size, early = np.sort(r.integers(0, 30, 200)), r.integers(1, 60, 200), r.random(200) < 0.4
+        order = np.lexsort((size, group))
+        group, size, early = group[order], size[order], early[order]
+        fits = lambda a, b: percent * max(size[a], size[b]) <= 100 * min(size[a], size[b])
+        partner = lambda a, b: group[a] == group[b] and fits(a, b) and ((size[a] <= size[b] and early[a]) or (size[b] <= size[a] and early[b]))
+        want = [any(partner(a, b) for b in range(200) if a != b) for a in range(200)]
+        assert module_useful(group, size, early, percent).tolist() == want
+
+
 def test_jaccard_edges(spark, empty):
     assert jaccard_components(empty).count() == 0
     d = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (3, "A b\nc d"), (4, None), (5, ""), (6, "a b"), (7, "a B")], "doc_id long, text string")
@@ -176,6 +221,19 @@ def test_substring_layout_and_spans(docs, texts):
             assert r["kept_text"] == text and r["removed"] == []
 
 
+def test_substring_carries_all_columns(spark):
+    """Rows keep their other columns of any type, null texts and repeated rows, without a join."""
+    p = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, p, None, [1, 2], 1.5), (2, f"x  {p}", "a", None, None), (2, f"x  {p}", "b", [], 2.5), (None, p, "c", [3], 0.0), (3, None, "d", [4], -1.0), (4, "", "e", [5], 3.0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `kept text` string, row array<int>, n_removed double").repartition(2)
+    got = substring_dedup(d, layout=True, carry=True)
+    assert got.select("row.*").columns == d.columns
+    out = sorted((tuple(r["row"]) + (r["n_words"],) for r in got.collect()), key=str)
+    want = [(1, p, None, [1, 2], 1.5, 20), (2, "x  ", "a", None, None, 21), (2, "x  ", "b", [], 2.5, 21), (None, p, "c", [3], 0.0, 20), (3, None, "d", [4], -1.0, 0), (4, "", "e", [5], 3.0, 0)]
+    assert out == sorted(want, key=str)
+    assert substring_dedup(d.limit(0), carry=True).count() == 0
+
+
 def test_substring_edges(spark, empty):
     assert substring_dedup(empty).count() == 0
     p = " ".join(f"w{k}" for k in range(14))

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from scholion.llm import kernels as k
+from scholion.llm.bundles import parts_of
 from scholion.llm.substring_dedup import _pack, _pack_ids, _unpack, _unpack_ids
 
 TEXT = st.lists(st.one_of(st.none(), st.text(alphabet="ab é日 \u0085 \t\n\x0b\x0c\r\x1c", max_size=30)), max_size=8)
@@ -62,3 +63,12 @@ def test_ragged(parts):
     order = np.arange(len(parts))[::-1]
     got = np.array(flat, np.int64)[k.ragged(starts[order], size[order])] if flat else np.empty(0)
     assert got.tolist() == [x for p in parts[::-1] for x in p]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**48 - 1), max_size=60, unique=True), st.integers(1, 1 << 20))
+def test_parts_are_intervals(keys, n):
+    keys = np.array(sorted(keys), np.uint64)
+    part, cut = parts_of(keys, n, 48)
+    whole = [int(k) * n >> 48 for k in keys & ~np.uint64(0xFFFF)]
+    assert np.repeat(part, np.diff(cut)).tolist() == whole and part.tolist() == sorted(set(whole)) and cut[-1] == len(keys)

@@ -93,3 +93,49 @@ def test_repeated_ids_and_nulls(spark):
     texts = [(r["doc_id"], r["text"]) for r in d.collect()]
     assert (3, "short text") in texts and (3, f"{p} r") not in texts and (2, f"{p} q") in texts
     assert c.best_fit_packing(spark, docs, DATA).count() == len(rows) and c.quality_classifier(spark, docs, DATA).columns == docs.columns
+
+
+CLASHING = ["stay_key", "stay_id", "text_crc32", "kept_text", "cut_id", "_key", "_row", "score", "predicted", "row", "row_number", "lost_number", "n_removed", "id", "key", "component_id", "b", "Score"]
+
+
+@pytest.fixture
+def clashing(spark):
+    draw = random.Random(9)
+    base = [" ".join(f"w{draw.randrange(3000)}" for _ in range(120)) for _ in range(12)]
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [*base, base[3], base[4] + " end", f"{base[5][:200]} {passage}", f"lead {passage} tail", None, "", "long " * 30_000]
+    names = [c for c in CLASHING if c != "Score"]
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)).repartition(3)
+
+
+def test_clashing_names(spark, clashing):
+    """Columns that are called as those stages use inside come out as they went in."""
+    d = written(clashing, "clashing")
+    before = {r["doc_id"]: r for r in d.collect()}
+    for name, f in c.STAGES[:4]:
+        d = written(f(spark, d, DATA), f"clash-{name}")
+        assert d.columns == clashing.columns and d.schema["n_chars"].dataType == clashing.schema["n_chars"].dataType
+        for r in d.collect():
+            assert all(r[k] == before[r["doc_id"]][k] for k in d.columns if k not in ("text", "n_chars"))
+    assert c.best_fit_packing(spark, d, DATA).count() >= d.count()
+    for _, f in c.STAGES[1:4]:
+        out = {r["doc_id"] for r in f(spark, clashing, DATA).collect()}
+        assert {0, 1, 2, 3, 16, 17} <= out | {17}
+
+
+def test_run_on_clashing_and_empty_tables(spark, clashing, empty, tmp_path):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    for name, d in (("clash", clashing), ("none", clashing.limit(0)), ("bare", empty)):
+        folder = str(tmp_path / name)
+        d.write.parquet(f"{folder}/documents.parquet")
+        (labels if name == "clash" else labels.limit(0)).write.parquet(f"{folder}/labels.parquet")
+        out = c.run(spark, folder)
+        assert (out.count() > 0) == (name == "clash") and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_repeated_rows_stay_as_many(spark):
+    """A passage stage on rows that share id and text gives each of them once."""
+    p = " ".join(f"w{k}" for k in range(80))
+    d = spark.createDataFrame([(1, p, "a"), (2, f"x {p}", "b"), (2, f"x {p}", "c"), (2, f"x {p}", "d")], "doc_id long, text string, lang string")
+    assert sorted(r["lang"] for r in c.repeated_passages(spark, d, DATA).collect()) == ["a", "b", "c", "d"]
