@@ -1,7 +1,8 @@
 """The corpus pipeline: which documents stay, what of their texts stays, and in which sequences they are packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read back as the next
-one's docs. All but the last keep the columns of documents.
+one's docs. All but the last keep the columns of documents. In every stage extra columns are handed on as they are, whatever
+their names; those that a stage needs besides get names that no column has. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import table, written
+from scholion.llm.common import columns, fresh, table, written
 from scholion.llm.crf import score, train
-from scholion.llm.exact_dedup import exact_dedup, normalised
+from scholion.llm.exact_dedup import exact_dedup
 from scholion.llm.jaccard_join import jaccard_components
 from scholion.llm.packing import pack_texts
 from scholion.llm.substring_dedup import substring_dedup
@@ -19,49 +20,65 @@ from scholion.llm.tokens import vocabulary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line model, trained on the labels, takes for good."""
+    """Documents that the line model, trained on the labels, takes for good.
+
+    Each row is judged by itself, also where rows repeat an id or a text or have no id. Null and empty texts have a score as
+    any other and very long ones are judged whole. A score on the threshold is good.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=True).where("predicted = 1").select(docs.columns)
+    names = fresh(docs, "score", "predicted")
+    return score(docs, model, keep=True, names=tuple(names)).where(F.col(names[1]) == 1).select(*columns(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that share an id are told apart by their texts."""
-    stays = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(normalised()))
-    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["stay_id"]) & (F.col("_key") == F.col("stay_key")), "left_semi")
-    repeated = not kept.groupBy("doc_id", "_key").count().where("count > 1").isEmpty()
-    return (kept.dropDuplicates(["doc_id", "_key"]) if repeated else kept).select(docs.columns)
+    """One document of each group of equal texts, that with the smallest id.
+
+    Rows are told apart by a number written beside them. Null texts equal empty ones. Of rows that share the smallest id one
+    stays; a null id is larger than any other.
+    """
+    row, lost = fresh(docs, "row_number", "lost_number")
+    numbered = written(docs.select(*columns(docs), F.monotonically_increasing_id().alias(row)), "numbered")
+    gone = exact_dedup(numbered, key_col=row).where("NOT kept").select(F.col(row).alias(lost))
+    return numbered.join(gone, F.col(row) == F.col(lost), "left_anti").select(*columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: five-word shingles, similarity of 0.8 or more.
 
-    The smallest id stays. Where rows share an id, or have none, numbers of rows take the place of ids.
+    The smallest id stays. Where rows share an id, or have none, numbers of rows take the place of ids. Null and empty
+    texts, and those without words, are near to nothing and stay.
     """
+    row, lost = fresh(docs, "row_number", "lost_number")
     rows, key = docs, "doc_id"
     if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        rows, key = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
+        rows, key = written(docs.select(*columns(docs), F.monotonically_increasing_id().alias(row)), "numbered"), row
     found = jaccard_components(rows, key, n=5, percent=80)
-    stays = found.where(F.col("component_id") == F.col(key)).select(F.col(key).alias("stay"))
-    return rows.join(stays, rows[key] == stays["stay"], "left_semi").select(docs.columns)
+    gone = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias(lost))
+    return rows.join(gone, F.col(key) == F.col(lost), "left_anti").select(*columns(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of more than 50 words that documents with smaller ids hold too; other texts stay as they are.
 
-    A document of which nothing is left goes.
+    A document of which nothing is left goes; one that was null, empty or white from the start stays. Rows carry their other
+    columns with them, so repeated rows stay as many as they are. Rows that share an id are one document, which takes nothing from
+    itself; rows without an id keep all. n_chars follows the text where that was cut.
     """
-    found = substring_dedup(docs, window=50, layout=True).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "text_crc32", "kept_text")
-    same = (docs["doc_id"] == found["cut_id"]) & (F.crc32(F.encode("text", "UTF-8")) == F.col("text_crc32"))
-    joined = docs.join(found, same, "left").where("kept_text IS NULL OR trim(kept_text) <> ''")
-    text = F.coalesce("kept_text", "text")
-    changed = F.col("kept_text").isNotNull()
-    new = {"text": text, "n_chars": F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.withColumns(new).select(docs.columns)
+    found = substring_dedup(docs, window=50, layout=True, carry=True)
+    cut = F.col("n_removed") > 0
+    text = F.col("row").getField("text")
+    kept = found.where(~cut | (F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) != ""))
+    length = F.when(cut, F.char_length(text).cast("long"))
+    each = [F.col("row").getField(c) for c in docs.columns]
+    return kept.select(*[(F.coalesce(length, x).cast(docs.schema[c].dataType) if c == "n_chars" else x).alias(c) for c, x in zip(docs.columns, each, strict=True)])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens: a row for each piece of a text, with its place."""
+    """Sequences of 2048 tokens: a row for each piece of a text, with its place.
+
+    Null and empty texts have the end id alone. Only texts longer than a sequence are cut. Rows that repeat an id or have none
+    are packed each by itself; equal pieces take their places in either order.
+    """
     return pack_texts(docs, vocabulary("word_bpe_49k.json"), 2048, end=0)
 
 
