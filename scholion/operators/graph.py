@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import distinct_where
-
 
 def abbreviation_lists(seed: DataFrame, name: str, abbreviation: str) -> DataFrame:
     """The sorted abbreviations of each name."""
@@ -27,16 +25,71 @@ def coauthor_rows(editors: DataFrame, edges: DataFrame, articles: DataFrame, abb
     return out.withColumns({"is_author": F.when(own, 1).otherwise(0), "in_journal": F.when(inside, 1).otherwise(0)})
 
 
+def _counts(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct authors and titles in and out of the journal, from rows (keys, author, title, inside, outside) with either null.
+
+    Each author and title is one row a key before it is counted, so that nothing is expanded for the distinct counts.
+    """
+    once = sides.groupBy(*keys, "author", "title").agg(F.max("inside").alias("inside"), F.max("outside").alias("outside"))
+    of = lambda c, side: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), side)), F.lit(0)).cast("long")
+    inside, outside = F.col("inside"), F.col("outside")
+    return once.groupBy(*keys).agg(
+        of("author", outside).alias("coauthors_out"), of("author", inside).alias("coauthors_in"),
+        of("title", outside).alias("articles_out"), of("title", inside).alias("articles_in"), F.count("title").alias("articles"),
+    )
+
+
 def coauthor_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct co-authors and articles in and out of the journal, editors themselves left out."""
-    inside, outside = F.col("in_journal") == 1, F.col("in_journal") == 0
-    return rows.where("is_author = 0").groupBy(*keys).agg(
-        distinct_where("author", outside).alias("coauthors_out"),
-        distinct_where("author", inside).alias("coauthors_in"),
-        distinct_where("title", outside).alias("articles_out"),
-        distinct_where("title", inside).alias("articles_in"),
-        F.count_distinct("title").alias("articles"),
-    )
+    others = rows.where("is_author = 0").select(*keys, "author", "title", F.col("in_journal").alias("inside"), (1 - F.col("in_journal")).alias("outside"))
+    types = dict(others.dtypes)
+    none = lambda c: F.lit(None).cast(types[c]).alias(c)
+    either = F.explode(F.array(F.struct(F.col("author"), none("title")), F.struct(none("author"), F.col("title")))).alias("x")
+    return _counts(others.select(*keys, "inside", "outside", either).select(*keys, "inside", "outside", "x.author", "x.title"), keys)
+
+
+def coauthor_summary(editors: DataFrame, edges: DataFrame, articles: DataFrame, abbreviations: DataFrame, keys: list[str]) -> DataFrame:
+    """The counts of coauthor_counts over coauthor_rows, from the editors' own articles: only co-authors fan out.
+
+    keys are columns of editors, abbreviations or articles. Articles count if they have another author, which the least and the largest
+    author tell; editors without articles have a row of zeros.
+    """
+    inside = F.when(F.coalesce(F.array_contains("abbreviations", F.col("venue")), F.lit(False)), 1).otherwise(0)
+    own = editors.join(abbreviations, "journal", "left").join(edges.select("article", "person"), "person", "left").join(articles, "article", "left")
+    own = own.select(*keys, "article", "person", "title", inside.alias("inside"), (1 - inside).alias("outside"))
+    types = dict(own.dtypes)
+    several = edges.groupBy("article").agg(((F.min("person") != F.max("person")) | (F.count("*") > F.count("person"))).alias("several"))
+    counted = own.join(several, "article", "left").where(F.col("article").isNull() | F.col("several"))
+    titles = counted.select(*keys, F.lit(None).cast(types["person"]).alias("author"), "title", "inside", "outside")
+    others = own.join(edges.select("article", F.col("person").alias("author")), "article").where(F.col("author") != F.col("person"))
+    return _counts(others.select(*keys, "author", F.lit(None).cast(types["title"]).alias("title"), "inside", "outside").unionByName(titles), keys)
+
+
+def coauthor_measures(rows: DataFrame) -> DataFrame:
+    """Co-authors of each member by journal, year and kind of article, beside means of the journal's year and of the year.
+
+    rows (member, journal, pub_year, kind, person, author, article, in_journal). Rows of the member as author, and those whose
+    author or member isn't known, don't count. Means are taken by kind but looked up by journal and year, or by year, alone, so a row
+    stands beside the means of each kind.
+    """
+    keys = ["member", "journal", "pub_year", "kind"]
+    sides = rows.where("person <> author").select(*keys, "author", F.col("article").alias("title"), F.col("in_journal").alias("inside"), (1 - F.col("in_journal")).alias("outside"))
+    types = dict(sides.dtypes)
+    none = lambda c: F.lit(None).cast(types[c]).alias(c)
+    either = F.explode(F.array(F.struct(F.col("author"), none("title")), F.struct(none("author"), F.col("title")))).alias("x")
+    once = sides.select(*keys, "inside", "outside", either).select(*keys, "inside", "outside", "x.author", "x.title")
+    once = once.groupBy(*keys, "author", "title").agg(F.max("inside").alias("inside"), F.max("outside").alias("outside"))
+    of = lambda c, side: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col(side))), F.lit(0)).cast("long")
+    c = once.groupBy(*keys).agg(
+        F.count("author").alias("cnt_coauthor_total"), of("author", "inside").alias("cnt_coauthors_inside_journal"), of("author", "outside").alias("cnt_coauthors_outside_journal"),
+        F.count("title").alias("cnt_publications"), of("title", "inside").alias("cnt_publications_inside_journal"), of("title", "outside").alias("cnt_publications_outside_journal"),
+    )
+    percent = lambda side: (F.col(f"cnt_coauthors_{side}_journal") / F.col("cnt_coauthor_total") * 100).alias(f"perc_coauthors_{side}_journal")
+    c = c.select("*", percent("inside"), percent("outside"), (F.col("cnt_coauthors_inside_journal") - F.col("cnt_coauthors_outside_journal")).alias("cnt_coauthor_diff"))
+    for name, by in (("journal", ["journal", "pub_year"]), ("year", ["pub_year"])):
+        means = c.groupBy(*by, "kind").agg(*[F.avg(f"perc_coauthors_{s}_journal").alias(f"{name}_avg_perc_coauthors_{s}_journal") for s in ("inside", "outside")]).drop("kind")
+        c = c.join(means, by, "left")
+    return c
 
 
 def citation_authors(chapters: DataFrame, references: DataFrame, dois: DataFrame, edges: DataFrame, persons: DataFrame) -> DataFrame:
@@ -50,3 +103,18 @@ def citation_authors(chapters: DataFrame, references: DataFrame, dois: DataFrame
     out = c.join(r, c["from_doi_key"] == r["citing_key"], "left").join(dois.withColumnRenamed("doi", "known_doi"), F.col("cited_key") == F.col("known_doi"), "left")
     out = out.join(edges, "article", "left").join(persons, "person", "left")
     return out.select("from_key", F.col("citing").alias("from_doi"), F.col("cited").alias("to_doi"), F.col("article").alias("to_key"), F.col("person").alias("to_person"), F.col("name").alias("to_name"))
+
+
+def citation_summary(chapters: DataFrame, references: DataFrame, dois: DataFrame, edges: DataFrame, persons: DataFrame) -> DataFrame:
+    """For each chapter what citation_authors finds, counted: n_rows, n_found, n_authors and the first author's name.
+
+    Numbers of rows are carried along: citations are counted before they meet authors, persons before they meet names, so that
+    names are neither fanned out nor compared more often than there are authors of a chapter's citations.
+    """
+    r = references.select(F.trim("citing").alias("citing_key"), F.trim("cited").alias("cited_key"))
+    c = chapters.select("from_key", F.trim(F.replace(F.col("doi"), F.lit("https://doi.org/"), F.lit(""))).alias("from_doi_key"))
+    cited = c.join(r, c["from_doi_key"] == r["citing_key"], "left").join(dois.withColumnRenamed("doi", "known_doi"), F.col("cited_key") == F.col("known_doi"), "left")
+    cited = cited.groupBy("from_key", "article").agg(F.count("*").alias("n"))
+    by_person = cited.join(edges, "article", "left").groupBy("from_key", "person").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("article").isNotNull(), F.col("n"))).alias("found"))
+    by_name = by_person.join(persons, "person", "left").groupBy("from_key", "name").agg(F.sum("n").alias("n"), F.sum("found").alias("found"))
+    return by_name.groupBy("from_key").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum("found"), F.lit(0)).alias("n_found"), F.count("name").alias("n_authors"), F.min("name").alias("first_author"))

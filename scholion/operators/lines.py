@@ -40,12 +40,23 @@ def sections(lines: DataFrame, skip: str | None = None) -> DataFrame:
 def parents(found: DataFrame) -> DataFrame:
     """Each section with its parent: the nearest one before it that is strictly heavier; 0 is the root.
 
-    Sections of one document meet in one array, which holds weights only.
+    A document's sections meet in one array, no larger than the document, and are folded once with a stack of those that are
+    still open; the stack is as deep as there are different weights.
     """
-    w = Window.partitionBy("doc").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    before = found.withColumn("_before", F.collect_list(F.struct("idx", "weight")).over(w))
-    heavier = F.filter("_before", lambda s: (s["idx"] > 0) & (s["weight"] > F.col("weight")))
-    return before.withColumn("parent", F.when(F.col("idx") > 0, F.coalesce(F.array_max(F.transform(heavier, lambda s: s["idx"])), F.lit(0)))).drop("_before")
+    rest = [c for c in found.columns if c not in ("doc", "idx", "weight")]
+    section = F.struct("idx", F.col("weight").cast("double").alias("weight"), F.struct(*rest).alias("rest"))
+    start = F.struct(F.array().cast("array<struct<idx: bigint, weight: double>>").alias("open"), F.array().cast("array<bigint>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        above = F.filter(acc["open"], lambda s: s["weight"] > x["weight"])
+        parent = F.coalesce(F.get(above, F.size(above) - 1)["idx"], F.lit(0))
+        inner = x["idx"] > 0
+        return F.struct(F.when(inner, F.concat(above, F.array(x))).otherwise(acc["open"]).alias("open"), F.concat(acc["out"], F.array(F.when(inner, parent))).alias("out"))
+
+    s = found.groupBy("doc").agg(F.array_sort(F.collect_list(section)).alias("_s"))
+    tree = F.aggregate(F.transform("_s", lambda x: F.struct(x["idx"].alias("idx"), x["weight"].alias("weight"))), start, add)["out"]
+    each = s.withColumn("parent", tree).select("doc", F.explode(F.arrays_zip("_s", "parent")).alias("_x"))
+    return each.select("doc", "_x._s.idx", "_x._s.weight", "_x._s.rest.*", "_x.parent")
 
 
 def subtree(found: DataFrame, word: str) -> DataFrame:

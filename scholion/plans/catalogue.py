@@ -320,13 +320,13 @@ def acm_analysis_set(run: Run) -> DataFrame:
     seed = run.source("acm", "journal_dblp").select(F.col("acm_journal").alias("journal"), F.col("dblp_abbreviation").alias("abbreviation"))
     p = run.ref("stg_dblp_person").select(F.col("dblp_name").alias("editor"), F.col("dblp_unique_person_key").alias("person"))
     edges = run.ref("stg_dblp_article_person").select(F.col("dblp_object_key").alias("article"), F.col("dblp_unique_person_key").alias("person"))
-    a = run.ref("stg_dblp_article").select(F.col("dblp_object_key").alias("article"), F.col("dblp_year").alias("year"), F.col("dblp_journal").alias("article_journal"), F.col("dblp_title").alias("title"))
+    a = run.ref("stg_dblp_article").select(F.col("dblp_object_key").alias("article"), F.col("dblp_year").alias("year"), F.col("dblp_journal").alias("article_journal"), F.col("dblp_title").alias("title"), "dblp_object_type")
     a = a.withColumn("venue", text.first_group("article", r"/(\w+)/"))
     out = graph.coauthor_rows(b.join(p, "editor", "left"), edges, a, graph.abbreviation_lists(seed, "journal", "abbreviation"))
     return out.select(
         F.col("editor").alias("editor_name"), "journal", F.col("abbreviations").alias("dblp_journal_abbreviations"), F.col("person").alias("editor_dblp_person_key"), F.col("article").alias("article_dblp_object_key"),
         text.first_group("article", r"/(\w+)/").alias("article_journal_abbriviation"), F.col("author").alias("author_dblp_person_key"), F.col("year").alias("article_publication_year"), "article_journal",
-        F.col("title").alias("article_title"), F.col("is_author").alias("ind_editor_is_author"), F.col("in_journal").alias("ind_article_in_journal"),
+        F.col("title").alias("article_title"), F.col("is_author").alias("ind_editor_is_author"), F.col("in_journal").alias("ind_article_in_journal"), "dblp_object_type",
     )
 
 
@@ -361,6 +361,19 @@ def coauthor_pubcount(run: Run) -> DataFrame:
 
 @model("acm_analysis_set", **_BOARD)
 def coauthors(run: Run) -> DataFrame:
+    """Co-authors of members by journal, year and kind of article, beside the means of the journal's year and of the year."""
+    a = run.ref("acm_analysis_set").select(
+        F.col("editor_name").alias("member"), "journal", F.col("article_publication_year").alias("pub_year"), F.col("dblp_object_type").alias("kind"), F.col("editor_dblp_person_key").alias("person"),
+        F.col("author_dblp_person_key").alias("author"), F.col("article_dblp_object_key").alias("article"), F.col("ind_article_in_journal").alias("in_journal"),
+    )
+    return graph.coauthor_measures(a).withColumnsRenamed({"journal": "acm_journal", "kind": "dblp_object_type"}).select(
+        "member", "acm_journal", "pub_year", "dblp_object_type", "cnt_coauthor_total", *[f"{c}_{side}_journal" for side in ("inside", "outside") for c in ("cnt_coauthors", "perc_coauthors", "journal_avg_perc_coauthors", "year_avg_perc_coauthors")],
+        "cnt_coauthor_diff", "cnt_publications", "cnt_publications_inside_journal", "cnt_publications_outside_journal",
+    )
+
+
+@model("acm_analysis_set", **_BOARD)
+def coauthors_z_score(run: Run) -> DataFrame:
     """Co-authors of editors by journal and year, with the journal's and the year's means, the z-score and differences.
 
     Only journal articles count. Means are windows over the counts, so rows are neither joined nor multiplied.

@@ -46,14 +46,18 @@ def _r(c: str, name: str | None = None):
 # -- graph
 
 
-def _coauthor_rows(spark: SparkSession, d: str) -> DataFrame:
+def _coauthor_inputs(spark: SparkSession, d: str, year: str = "year") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     lineitem, orders, supplier, nation, region = _t(spark, d, "lineitem", "orders", "supplier", "nation", "region")
     edges = lineitem.select(F.col("l_orderkey").alias("article"), F.col("l_suppkey").alias("person")).distinct()
     editors = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     editors = editors.select(F.col("s_name").alias("editor"), F.col("r_name").alias("journal"), F.col("s_suppkey").alias("person"))
-    articles = orders.select(F.col("o_orderkey").alias("article"), F.col("o_orderpriority").alias("venue"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("title"))
+    articles = orders.select(F.col("o_orderkey").alias("article"), F.col("o_orderpriority").alias("venue"), F.year("o_orderdate").alias(year), F.col("o_orderkey").alias("title"), F.col("o_orderstatus").alias("kind"))
     seed = tables.constants(spark, ABBREVIATIONS, "journal string, abbreviation string")
-    return graph.coauthor_rows(editors, edges, articles, graph.abbreviation_lists(seed, "journal", "abbreviation"))
+    return editors, edges, articles, graph.abbreviation_lists(seed, "journal", "abbreviation")
+
+
+def _coauthor_rows(spark: SparkSession, d: str) -> DataFrame:
+    return graph.coauthor_rows(*_coauthor_inputs(spark, d))
 
 
 _SEED_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ABBREVIATIONS) + ") AS seed(journal, abbreviation)"
@@ -61,7 +65,7 @@ _COAUTHOR_SQL = f"""
     edges AS (SELECT DISTINCT l_orderkey AS article, l_suppkey AS person FROM lineitem),
     editors AS (SELECT s_name AS editor, r_name AS journal, s_suppkey AS person FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
     abbr AS (SELECT journal, list(abbreviation ORDER BY abbreviation) AS abbreviations FROM {_SEED_SQL} GROUP BY journal),
-    x AS (SELECT e.editor, e.journal, a.abbreviations, e.person, e2.person AS author, o_orderkey AS title, year(o_orderdate) AS year,
+    x AS (SELECT e.editor, e.journal, a.abbreviations, e.person, e2.person AS author, o_orderkey AS title, o_orderstatus AS kind, year(o_orderdate) AS year,
                  CASE WHEN e.person = e2.person THEN 1 ELSE 0 END AS is_author, CASE WHEN list_contains(a.abbreviations, o_orderpriority) THEN 1 ELSE 0 END AS in_journal
           FROM editors e LEFT JOIN abbr a ON e.journal = a.journal LEFT JOIN edges e1 ON e.person = e1.person LEFT JOIN edges e2 ON e1.article = e2.article LEFT JOIN orders ON e1.article = o_orderkey)"""
 
@@ -72,8 +76,8 @@ _COAUTHOR_SQL = f"""
            count(DISTINCT title) FILTER (WHERE in_journal = 0) AS articles_out, count(DISTINCT title) FILTER (WHERE in_journal = 1) AS articles_in, count(DISTINCT title) AS articles
     FROM x WHERE is_author = 0 GROUP BY editor, abbreviations, year""")
 def coauthor_subset(spark: SparkSession, d: str) -> DataFrame:
-    """J4 J5 A2 A3 A17 A21 A23 F11 X17 X20."""
-    rows = graph.coauthor_counts(_coauthor_rows(spark, d).withColumnRenamed("year", "publication_year"), ["editor", "abbreviations", "publication_year"])
+    """Counted from the editors' own articles, so that only co-authors fan out."""
+    rows = graph.coauthor_summary(*_coauthor_inputs(spark, d, "publication_year"), ["editor", "abbreviations", "publication_year"])
     return rows.withColumn("journal_keys", F.array_join("abbreviations", "|")).drop("abbreviations")
 
 
@@ -105,23 +109,40 @@ def board_articles(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("s_name").alias("member"), F.col("n_name").alias("journal"), F.col("o_orderkey").alias("article"), F.col("o_orderstatus").alias("kind"), F.year("o_orderdate").alias("year"))
 
 
-@query("""WITH chapters AS (SELECT o_orderkey AS from_key, 'https://doi.org/10.1/' || o_orderkey || ' ' AS doi FROM orders WHERE o_orderstatus = 'P'),
+_PERCENT = "100.0 * count(DISTINCT author) FILTER (WHERE in_journal = {}) / count(DISTINCT author)"
+
+
+@query(f"""WITH {_COAUTHOR_SQL},
+    c AS (SELECT editor AS member, journal, year AS pub_year, kind, count(DISTINCT author) AS cnt_coauthor_total, count(DISTINCT author) FILTER (WHERE in_journal = 1) AS cnt_coauthors_inside_journal, {_PERCENT.format(1)} AS pi, {_PERCENT.format(0)} AS po,
+                 count(DISTINCT title) AS cnt_publications, count(DISTINCT title) FILTER (WHERE in_journal = 1) AS cnt_publications_inside_journal FROM x WHERE person <> author GROUP BY ALL),
+    j AS (SELECT journal, pub_year, kind, avg(pi) AS ji, avg(po) AS jo FROM c GROUP BY ALL), y AS (SELECT pub_year, kind, avg(pi) AS yi, avg(po) AS yo FROM c GROUP BY ALL)
+    SELECT member, c.journal, c.pub_year, c.kind, cnt_coauthor_total, cnt_coauthors_inside_journal, round(pi, 6) AS inside, round(po, 6) AS outside, round(ji, 6) AS journal_inside, round(jo, 6) AS journal_outside, round(yi, 6) AS year_inside, round(yo, 6) AS year_outside,
+           cnt_publications, cnt_publications_inside_journal FROM c LEFT JOIN j ON c.pub_year = j.pub_year AND c.journal = j.journal LEFT JOIN y ON c.pub_year = y.pub_year""")
+def coauthor_means(spark: SparkSession, d: str) -> DataFrame:
+    """Co-authors of members by journal, year and kind, beside the means of the journal's year and of the year."""
+    rows = _coauthor_rows(spark, d).select(F.col("editor").alias("member"), "journal", F.col("year").alias("pub_year"), "kind", "person", "author", F.col("title").alias("article"), "in_journal")
+    out = graph.coauthor_measures(rows)
+    short = {"perc_coauthors": "", "journal_avg_perc_coauthors": "journal_", "year_avg_perc_coauthors": "year_"}
+    return out.select("member", "journal", "pub_year", "kind", "cnt_coauthor_total", "cnt_coauthors_inside_journal", *[_r(f"{c}_{s}_journal", f"{n}{s}") for c, n in short.items() for s in ("inside", "outside")], "cnt_publications", "cnt_publications_inside_journal")
+
+
+@query("""WITH chapters AS (SELECT o_orderkey AS from_key, CASE WHEN o_orderstatus = 'P' THEN 'https://doi.org/10.1/' ELSE 'https://doi.org/10.3/' END || o_orderkey || ' ' AS doi FROM orders),
     refs AS (SELECT ' 10.1/' || l_orderkey AS citing, '10.2/' || l_partkey AS cited FROM lineitem),
-    dois AS (SELECT p_partkey AS article, '10.2/' || p_partkey AS doi FROM part WHERE p_size > 5),
+    dois AS (SELECT p_partkey AS article, CASE WHEN p_size > 5 THEN '10.2/' ELSE '10.4/' END || p_partkey AS doi FROM part),
     edges AS (SELECT DISTINCT l_partkey AS article, l_suppkey AS person FROM lineitem),
     y AS (SELECT from_key, e.article, person FROM chapters LEFT JOIN refs ON trim(replace(chapters.doi, 'https://doi.org/', '')) = trim(citing) LEFT JOIN dois ON trim(cited) = dois.doi LEFT JOIN edges e ON dois.article = e.article)
     SELECT from_key, count(*) AS n_rows, count(y.article) AS n_found, count(DISTINCT s_name) AS n_authors, min(s_name) AS first_author FROM y LEFT JOIN supplier ON person = s_suppkey GROUP BY from_key""")
 def citation_chain(spark: SparkSession, d: str) -> DataFrame:
-    """From an order over the parts it cites to their suppliers, by trimmed and cut keys."""
+    """From an order over the parts it cites to their suppliers, by trimmed and cut keys; orders and parts whose keys miss stay."""
     lineitem, orders, part, supplier = _t(spark, d, "lineitem", "orders", "part", "supplier")
-    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    chapters = orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("from_key"), F.concat(key("https://doi.org/10.1/", "o_orderkey"), F.lit(" ")).alias("doi"))
+    key = lambda p, c: F.concat(F.lit(p) if isinstance(p, str) else p, F.col(c).cast("string"))
+    doi = F.when(F.col("o_orderstatus") == "P", "https://doi.org/10.1/").otherwise("https://doi.org/10.3/")
+    chapters = orders.select(F.col("o_orderkey").alias("from_key"), F.concat(key(doi, "o_orderkey"), F.lit(" ")).alias("doi"))
     refs = lineitem.select(key(" 10.1/", "l_orderkey").alias("citing"), key("10.2/", "l_partkey").alias("cited"))
-    dois = part.where("p_size > 5").select(F.col("p_partkey").alias("article"), key("10.2/", "p_partkey").alias("doi"))
+    dois = part.select(F.col("p_partkey").alias("article"), key(F.when(F.col("p_size") > 5, "10.2/").otherwise("10.4/"), "p_partkey").alias("doi"))
     edges = lineitem.select(F.col("l_partkey").alias("article"), F.col("l_suppkey").alias("person")).distinct()
     persons = supplier.select(F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"))
-    out = graph.citation_authors(chapters, refs, dois, edges, persons)
-    return out.groupBy("from_key").agg(F.count("*").alias("n_rows"), F.count("to_key").alias("n_found"), F.count_distinct("to_name").alias("n_authors"), F.min("to_name").alias("first_author"))
+    return graph.citation_summary(chapters, refs, dois, edges, persons)
 
 
 # -- statistics
@@ -217,13 +238,13 @@ def weighted_mode(spark: SparkSession, d: str) -> DataFrame:
     return stats.modes(_t(spark, d, "documents").select("source", "lang", "n_chars"), ["source"], "lang", "n_chars")
 
 
-@query("""WITH c AS (SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS types, min(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS ok FROM events WHERE value > 90 GROUP BY user_id)
+@query("""WITH c AS (SELECT user_id, coalesce(string_agg(DISTINCT event_type, '|' ORDER BY event_type) FILTER (WHERE value > 90), '') AS types, min(CASE WHEN event_type = 'error' AND value > 90 THEN 0 ELSE 1 END) AS ok FROM events GROUP BY user_id)
     SELECT CASE WHEN ok = 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN ok = 1 THEN 'OK' WHEN types = 'error' THEN 'Unknown' WHEN types LIKE '%view%' THEN types ELSE 'Internal error' END AS message, count(*) AS n_users,
            round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percentage FROM c GROUP BY ALL""")
 def string_agg_status(spark: SparkSession, d: str) -> DataFrame:
     """Ordered strings of a group, tests on them, groups by the outcome."""
-    e = _t(spark, d, "events").where("value > 90")
-    c = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("types"), F.min(F.when(F.col("event_type") == "error", 0).otherwise(1)).alias("ok"))
+    e, high = _t(spark, d, "events"), F.col("value") > 90
+    c = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(high, F.col("event_type")))), "|").alias("types"), F.min(F.when(high & (F.col("event_type") == "error"), 0).otherwise(1)).alias("ok"))
     message = F.when(F.col("ok") == 1, "OK").when(F.col("types") == "error", "Unknown").when(F.col("types").like("%view%"), F.col("types")).otherwise("Internal error")
     return stats.shares(c, F.when(F.col("ok") == 0, "FAIL").otherwise("PASS").alias("status"), message.alias("message")).withColumnRenamed("n", "n_users")
 
@@ -257,12 +278,13 @@ def scope_union(spark: SparkSession, d: str) -> DataFrame:
     return out.where("object_type IS NOT NULL").withColumn("publtype", F.when(F.col("object_type") == "incollection", "x"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS k, min(l_shipdate) AS first_ship, max(l_linenumber) AS n_lines, min(l_returnflag) AS flag, sum(l_quantity) AS quantity, max(l_discount) AS discount, min(l_partkey) AS part FROM lineitem WHERE l_quantity > 10 GROUP BY l_orderkey)
+@query("""WITH l AS (SELECT CASE WHEN l_orderkey % 7 = 0 THEN -l_orderkey ELSE l_orderkey END AS k, min(l_shipdate) AS first_ship, max(l_linenumber) AS n_lines, min(l_returnflag) AS flag, sum(l_quantity) AS quantity, max(l_discount) AS discount, min(l_partkey) AS part FROM lineitem GROUP BY k)
     SELECT o_orderkey AS id, 'order' AS object_type, CAST(first_ship AS DATE) AS first_ship, n_lines, flag, CAST(quantity AS BIGINT) AS quantity, discount, part FROM orders LEFT JOIN l ON o_orderkey = k""")
 def wide_star(spark: SparkSession, d: str) -> DataFrame:
     """A publication with six children; children of one key are grouped together, so they are shuffled once."""
     orders, lineitem = _t(spark, d, "orders", "lineitem")
-    child = lineitem.where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("k")).agg(
+    known = F.when(F.col("l_orderkey") % 7 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    child = lineitem.groupBy(known.alias("k")).agg(
         F.min("l_shipdate").cast("date").alias("first_ship"), F.max("l_linenumber").alias("n_lines"), F.min("l_returnflag").alias("flag"),
         F.sum("l_quantity").cast("long").alias("quantity"), F.max("l_discount").alias("discount"), F.min("l_partkey").alias("part"),
     )
@@ -338,12 +360,12 @@ def first_non_null(spark: SparkSession, d: str) -> DataFrame:
     return matching.first_present(p, "p_brand", "v", [F.col("p_partkey")], "name").drop("v")
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, c_name AS n, c_acctbal AS x FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT s_suppkey AS k, s_name AS n, s_acctbal AS y FROM supplier)
+@query("""WITH a AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey END AS k, c_name AS n, c_acctbal AS x FROM customer), b AS (SELECT s_suppkey AS k, s_name AS n, s_acctbal AS y FROM supplier)
     SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, b.n) AS n, md5(coalesce(a.n, b.n)) AS anonymous, x, y FROM a FULL JOIN b ON a.k = b.k""")
 def full_outer_resolve(spark: SparkSession, d: str) -> DataFrame:
     """J9 X2 X13."""
     customer, supplier = _t(spark, d, "customer", "supplier")
-    a = customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.col("c_acctbal").alias("x"))
+    a = customer.select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("k"), F.col("c_name").alias("n"), F.col("c_acctbal").alias("x"))
     b = supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("n"), F.col("s_acctbal").alias("y"))
     return matching.merged(a, b, "k", ["n"]).withColumn("anonymous", text.digest("n"))
 
@@ -371,13 +393,14 @@ def computed_key_join(spark: SparkSession, d: str) -> DataFrame:
 _LATIN = "regexp_matches(w, '^[a-zA-Zàâçéèêëîïôûùüÿñóíáú]+$')"
 
 
-@query(f"""WITH w AS (SELECT lang, unnest(string_split(replace(coalesce(text, ''), chr(10), ' '), ' ')) AS w FROM documents), a AS (SELECT DISTINCT w FROM w WHERE lang = 'fr' AND {_LATIN}), b AS (SELECT DISTINCT w FROM w WHERE lang = 'en' AND {_LATIN})
+@query(f"""WITH w AS (SELECT lang, unnest(string_split(replace(coalesce(text, ''), chr(10), ' '), ' ')) AS w FROM documents), a AS (SELECT DISTINCT w FROM w WHERE lang = 'fr' AND {_LATIN}), b AS (SELECT DISTINCT w FROM w WHERE lang <> 'fr' AND {_LATIN})
     SELECT lower(strip_accents(a.w)) AS name, count(*) AS n_pairs, min(a.w) AS left_form, max(b.w) AS right_form FROM a JOIN b ON lower(strip_accents(a.w)) = lower(strip_accents(b.w)) GROUP BY 1""")
 def accent_join(spark: SparkSession, d: str) -> DataFrame:
-    """Words of two languages that differ in case and accents only, joined by collation."""
+    """Words of one language and of all others that differ in case and accents only, joined by collation."""
     letters = F.col("w").rlike("^[a-zA-Zàâçéèêëîïôûùüÿñóíáú]+$")
     w = _t(spark, d, "documents").select("lang", F.explode(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where(letters)
-    a, b = (w.where(F.col("lang") == x).select(F.col("w").alias(n)).distinct() for x, n in (("fr", "a"), ("en", "b")))
+    french = F.col("lang") == "fr"
+    a, b = (w.where(x).select(F.col("w").alias(n)).distinct() for x, n in ((french, "a"), (~french, "b")))
     pairs = a.join(b, text.same_name("a", "b"))
     return pairs.groupBy(F.lower(text.unaccented("a")).alias("name")).agg(F.count("*").alias("n_pairs"), F.min("a").alias("left_form"), F.max("b").alias("right_form"))
 
@@ -435,15 +458,6 @@ def surrogate_ids_large(spark: SparkSession, d: str) -> DataFrame:
     return sinks.numbered(_t(spark, d, "lineitem").select(*cols), "id", *cols)
 
 
-@query("""SELECT event_id AS id, event_type, CAST(NULL AS BIGINT) AS k, value FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT), NULL FROM events WHERE event_type = 'click'""")
-def schema_merge_append(spark: SparkSession, d: str) -> DataFrame:
-    """K1 K5: batches of different shapes in one table."""
-    e = _t(spark, d, "events")
-    first = e.where("event_type = 'view'").select(F.col("event_id").alias("id"), "event_type", "value")
-    second = e.where("event_type = 'click'").select(F.col("event_id").alias("id"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return sinks.union_by_name(first, second)
-
-
 @query("""SELECT 'unique(o_orderkey)' AS "check", (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_orderkey IS NOT NULL GROUP BY o_orderkey HAVING count(*) > 1)) AS violations
     UNION ALL SELECT 'unique(o_custkey)', (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(*) > 1))
     UNION ALL SELECT 'unique(o_custkey, o_orderdate)', (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1))
@@ -491,13 +505,13 @@ def dialect_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, md5(url) AS url_md5, CASE WHEN strpos(substr(url, 9), '/') > 0 THEN regexp_replace(substr(url, 1, 8 + strpos(substr(url, 9), '/') - 1), '^https?://', '') ELSE '' END AS host FROM pages""")
 def html_title_host(spark: SparkSession, d: str) -> DataFrame:
-    """X13 X19 P20."""
+    """X13 X19."""
     return _t(spark, d, "pages").select("page_id", html.title("html").alias("title"), text.digest("url").alias("url_md5"), text.host_of("url").alias("host"))
 
 
 @query("""SELECT page_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    """S19 P24."""
+    """S19."""
     return _t(spark, d, "pages").select("page_id", F.posexplode(html.links("html")).alias("n", "href"))
 
 
@@ -522,18 +536,11 @@ def _depth(n: html.Node) -> int:
     t AS (SELECT page_id, n, regexp_extract(h, '^<(\w+)', 1) AS tag, replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text FROM x)
     SELECT page_id, n, 'SUCCEEDED' AS status, tag, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM t""")
 def html_elements(spark: SparkSession, d: str) -> DataFrame:
-    """P20 to P25: elements of each page by the tree walker."""
+    """Elements of each page by the tree walker that the page parsers use."""
     found = html.parse(_t(spark, d, "pages"), _elements, "page_id")
     return found.select("page_id", "n", "status", F.col("record.tag").alias("tag"), F.col("record.text").alias("text"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), '-') AS missing FROM events")
-def json_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """Known fields of a JSON text as columns."""
-    e = _t(spark, d, "events").select("event_id", F.from_json("props", "k long, missing string").alias("p"))
-    return e.select("event_id", "p.k", F.coalesce("p.missing", F.lit("-")).alias("missing"))
-
-
 @query("""WITH j AS (SELECT conv_id, role, string_split(trim(regexp_replace(coalesce(text, ''), '[\\s]+', ' ', 'g')), ' ')[1] AS w FROM conversations)
     SELECT conv_id, count(*) AS n_authors, string_agg(DISTINCT role, '|' ORDER BY role) AS roles FROM j GROUP BY conv_id""")
 def author_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -622,13 +629,13 @@ def _committee(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT n_nationkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 AS member_no, 'Program Committee' AS role, 'Name ' || replace(s_name, '#', ' ') AS name, 'University of ' || n_name || ', Land' AS affiliation FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def grid_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Laid-out lines to grids, statistics, a parser and members."""
+    """Laid-out lines to grids, statistics, a parser and members; grid_layouts has the other parsers."""
     return grid.members(grid.parsed(_committee(spark, d)), "n_nationkey").select("n_nationkey", "member_no", "role", "name", "affiliation")
 
 
 @query("SELECT n_nationkey, 'SUCCEEDED' AS status, 'Two_Name_Affiliation' AS parser, count(*) AS n_rows, 2 AS n_columns, CAST(0 AS DOUBLE) AS comma_0, CAST(1 AS DOUBLE) AS comma_1 FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey")
 def grid_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """The shape of grids, ratios of columns and the parser they lead to."""
+    """The shape of grids, ratios of columns and the parser they lead to."""
     g = grid.parsed(_committee(spark, d))
     return g.select("n_nationkey", "status", "parser", F.size("rows").alias("n_rows"), "n_columns", grid.cell_ratio(F.col("rows"), 0, grid.COMMA).cast("double").alias("comma_0"), grid.cell_ratio(F.col("rows"), 1, grid.COMMA).cast("double").alias("comma_1"))
 
@@ -695,3 +702,6 @@ def tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts by day and kind in tumbling windows; the same expression serves a stream."""
     out = incremental.windowed(_t(spark, d, "events"), "ts", "1 day", ["event_type"])
     return out.select(F.concat(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")).alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
+
+
+from . import layouts  # noqa: E402,F401  registers the queries over generated pages, committees and batches

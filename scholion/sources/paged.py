@@ -42,7 +42,8 @@ def crawl(spark: SparkSession, fetch: Callable[[int], Iterable[dict]], folder: s
     """Fetch pages from `first` on, `at_once` in parallel, append them to folder, and stop after the first empty or failed one.
 
     Returns the records before that page. Each round is appended by itself, so a later failure loses nothing; a crawl that is
-    run again on the same folder goes on after its last page.
+    run again on the same folder goes on after its last page. A crawl that has not met its end after `most` pages is an error, so that
+    partial data are never taken for whole.
     """
     from pyspark.errors import AnalysisException
 
@@ -57,5 +58,7 @@ def crawl(spark: SparkSession, fetch: Callable[[int], Iterable[dict]], folder: s
     while stop is None and at < first + most - 1:
         fetched(spark, fetch, range(at + 1, min(at + 1 + at_once, first + most)), pause).write.mode("append").parquet(folder)
         at, stop = last()
+    if stop is None:
+        raise RuntimeError(f"no end after {most} pages: run again with a larger number")
     found = spark.read.schema(RECORDS).parquet(folder).where("n >= 0")
-    return found if stop is None else found.where(F.col("page") < stop)
+    return found.where(F.col("page") < stop)

@@ -74,13 +74,19 @@ def union_by_name(*batches: DataFrame) -> DataFrame:
     return out
 
 
-def numbered(rows: DataFrame, name: str, *order: str, ranges: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, name: str, *order: str, range_rows: int = 250_000, most_ranges: int = 1024) -> DataFrame:
     """Surrogate numbers from 1 in the order of columns, without bringing all rows to one task.
 
-    A bounded sample of keys gives the bounds of ranges; each range numbers its own rows and starts after those before it.
-    Rows equal in the order are numbered in either order, so give a total one. Nulls come first.
+    As many ranges as the count of rows asks for; a sample of keys, drawn by a threshold on their hash so that no task keeps
+    more than its share, gives their bounds. Each range numbers its own rows and starts after those before it. Rows equal in
+    the order are numbered in either order, so give a total one. Nulls come first.
     """
-    drawn = rows.select(*order).orderBy(F.xxhash64(*order)).limit(20 * ranges).orderBy(*order).collect()
+    n = rows.count()
+    ranges = max(1, min(most_ranges, n // range_rows))
+    drawn = []
+    if ranges > 1:
+        below = int(2**40 * min(1.0, 20 * ranges / n))
+        drawn = rows.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(2**40)) < below).distinct().orderBy(*order).collect()
     cuts = sorted({len(drawn) * k // ranges for k in range(1, ranges)}) if len(drawn) > ranges else []
     types = {f.name: f.dataType for f in rows.schema.fields}
     bounds = [F.struct(*[F.lit(drawn[k][c]).cast(types[c]).alias(c) for c in order]) for k in cuts]
@@ -94,13 +100,71 @@ def numbered(rows: DataFrame, name: str, *order: str, ranges: int = 64) -> DataF
         return F.when(key < bounds[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
 
     ranged = rows.withColumn("_range", place(0, len(bounds)))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    if not bounds:
+        return ranged.withColumn(name, within.cast("long")).drop("_range")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    # one row a range, of which there are at most `ranges`
+    # one row a range, of which there are at most `most_ranges`
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + within).drop("_range", "_start")
 
 
+def merged_by_key(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """K8: the rows with the columns of updates in place of their own where an update has the row's key.
+
+    Updates hold the key, an optional column `at` by which the latest of several counts, and columns of the rows. A null in an update is
+    a value. Keys that no row has are left out; a null key is updated by none.
+    """
+    changed = [c for c in updates.columns if c not in (key, "at")]
+    by = F.col("at") if "at" in updates.columns else F.struct(*changed)
+    latest = updates.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*changed), by).alias("_new"))
+    joined = rows.join(latest, F.col(key) == F.col("_key"), "left")
+    new = lambda f: F.when(F.col("_key").isNotNull(), F.col("_new")[f.name].cast(f.dataType)).otherwise(F.col(f"`{f.name}`")) if f.name in changed else F.col(f"`{f.name}`")
+    return joined.select(*[new(f).alias(f.name) for f in rows.schema.fields])
+
+
+def _replaced(rows: DataFrame, schema: str, name: str) -> None:
+    """The table's contents become rows that may be read from it: written beside it, then put in its place."""
+    spark, beside = rows.sparkSession, f"{name}__new"
+    drop(spark, schema, beside)
+    rows.write.saveAsTable(f"`{schema}`.`{beside}`")
+    drop(spark, schema, name)
+    spark.sql(f"ALTER TABLE `{schema}`.`{beside}` RENAME TO `{schema}`.`{name}`")
+
+
+def update(spark: SparkSession, schema: str, name: str, updates: DataFrame, key: str) -> None:
+    """K8: set columns of the rows that have the keys of updates."""
+    _replaced(merged_by_key(spark.table(f"`{schema}`.`{name}`"), updates, key), schema, name)
+
+
+def widen(spark: SparkSession, schema: str, name: str, column: str, kind: str) -> None:
+    """K6: give a column another type that holds its values; an error if one would be lost."""
+    rows = spark.table(f"`{schema}`.`{name}`")
+    wide = F.col(f"`{column}`").try_cast(kind)
+    if not rows.where(F.col(f"`{column}`").isNotNull() & wide.isNull()).isEmpty():
+        raise ValueError(f"values of {column} don't fit {kind}")
+    _replaced(rows.withColumn(column, wide), schema, name)
+
+
+def clustered(rows: DataFrame, schema: str, name: str, *by: str, unique: bool = False) -> None:
+    """Replace the table's contents by the rows ordered by columns, so that scans skip files and row groups by their bounds.
+
+    This takes the place of an index; with `unique`, rows equal in the columns are an error, nulls apart.
+    """
+    if unique and not rows.dropna(subset=list(by)).groupBy(*by).count().where("count > 1").isEmpty():
+        raise ValueError(f"{', '.join(by)} is not unique")
+    reload(rows.repartitionByRange(*by).sortWithinPartitions(*by), schema, name)
+
+
+def describe(spark: SparkSession, schema: str, name: str, text: str | None = None, **columns: str) -> None:
+    """T5: document a table and its columns in the catalog."""
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if text is not None:
+        spark.sql(f"COMMENT ON TABLE `{schema}`.`{name}` IS {quoted(text)}")
+    for c, t in columns.items():
+        spark.sql(f"ALTER TABLE `{schema}`.`{name}` ALTER COLUMN `{c}` COMMENT {quoted(t)}")
+
+
 def write_files(items: DataFrame, folder: str, name_col: str = "filename", content_col: str = "content") -> DataFrame:
     """Write each item's bytes to a file of the folder and return (filename, status, error) for each.
 

@@ -39,13 +39,14 @@ def unseen(work: DataFrame, done: DataFrame | None, *keys: str) -> DataFrame:
 
 
 def not_in(rows: DataFrame, key: Column | str, values: DataFrame) -> DataFrame:
-    """rows whose key isn't among the one column of values, with SQL's rule that a null among them leaves no row."""
+    """rows whose key isn't among the one column of values, with SQL's rules: a null among the values leaves no row, a
+    null key is never known to be missing, and an empty list leaves every row.
+    """
     key = F.col(key) if isinstance(key, str) else key
-    name = values.columns[0]
-    v = values.select(F.col(name).alias("_value")).distinct()
-    nulls = v.where("_value IS NULL").limit(1).select(F.lit(1).alias("_null"))
-    kept = rows.where(key.isNotNull()).join(v.where("_value IS NOT NULL"), key == F.col("_value"), "left_anti")
-    return kept.join(nulls, F.lit(True), "left_anti")
+    v = values.select(F.col(values.columns[0]).alias("_value")).distinct()
+    of = v.agg(F.struct(F.count("*").alias("n"), F.count("_value").alias("known"))).scalar()
+    may = (of["n"] == 0) | (key.isNotNull() & (of["n"] == of["known"]))
+    return rows.where(may).join(v.where("_value IS NOT NULL"), key == F.col("_value"), "left_anti")
 
 
 def exists(rows: DataFrame) -> bool:

@@ -94,7 +94,7 @@ def test_board(run):
     assert got(run, "clean_editorial_board", "editorial_board_id", "name") == [(1, "Ada"), (2, "Zoe")]
     subset = got(run, "acm_analysis_subset", "editor_name", "publication_year", "count_distinct_coauthor_out_journal", "count_distinct_coauthor_in_journal", "count_distinct_articles")
     assert subset == [("Ada", 2020, 1, 1, 2), ("Zoe", None, 0, 0, 0)]
-    assert got(run, "coauthors", "editor_name", "cnt_coauthor_total", "cnt_coauthor_diff", "perc_coauthors_inside_journal", "z_score") == [("Ada", 2, 0, 50.0, None)]
+    assert got(run, "coauthors_z_score", "editor_name", "cnt_coauthor_total", "cnt_coauthor_diff", "perc_coauthors_inside_journal", "z_score") == [("Ada", 2, 0, 50.0, None)]
     assert got(run, "co_author_pub_hist", "editor_name", "cnt_articles", "cnt_unique_coauthor")[0] == ("Ada", 1, 1)
     assert len(got(run, "board_dblp_articles", "acm_name")) == 3 * 2 + 1 + 1
 

@@ -68,7 +68,7 @@ def test_not_in(spark):
 @pytest.mark.parametrize("n", [0, 1, 3000])
 def test_numbered(spark, n):
     d = spark.range(n).select(F.xxhash64("id").alias("a"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("b"))
-    got = sinks.numbered(d, "n", "b", "a", ranges=16).collect()
+    got = sinks.numbered(d, "n", "b", "a", range_rows=190).collect()
     assert sorted(r["n"] for r in got) == list(range(1, n + 1))
     order = sorted(got, key=lambda r: (r["b"] is not None, r["b"] or 0, r["a"]))
     assert [r["n"] for r in order] == list(range(1, n + 1))
@@ -141,3 +141,60 @@ def test_shares_histogram_and_pivot(spark):
     assert rows(stats.pivot_least(d, ["k"], "p", "v", {"x": "x", "z": "z"})) == [("a", 1, None), ("b", None, None)]
     assert [r["z"] for r in stats.z_scores(d.where("v = 3"), ["k"], "v").collect()] == [None]
     assert rows(lines.islands(spark.createDataFrame([(1,), (2,), (2,), (5,)], "p int").withColumn("g", F.lit("g")), ["g"], "p")) == [("g", 1, 2, 2), ("g", 5, 5, 1)]
+
+
+def test_not_in_follows_sql(spark):
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    values = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    left = lambda *v: sorted((r["k"] for r in tables.not_in(rows, "k", values(*v)).collect()), key=str)
+    assert left() == [1, 2, None] and left(1, 1) == [2] and left(1, None) == [] and left(None) == [] and left(7) == [1, 2]
+
+
+def test_numbers_over_several_ranges(spark):
+    d = spark.range(3000).select((F.col("id") % 700).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("b")).repartition(6)
+    got = sinks.numbered(d, "n", "a", "b", range_rows=100).collect()
+    key = lambda r: (r["a"], r["b"] is not None, r["b"] or 0)
+    assert [r["n"] for r in sorted(got, key=lambda r: (key(r), r["n"]))] == list(range(1, 3001))
+    assert sinks.numbered(d.limit(0), "n", "a").count() == 0
+
+
+def test_status_updates(spark):
+    rows = spark.createDataFrame([(1, "NEW", None), (2, "NEW", "m"), (None, "NEW", "x")], "id long, status string, message string")
+    new = spark.createDataFrame([(1, "A", 1), (1, "B", 2), (9, "C", 1), (None, "D", 1)], "id long, status string, at int")
+    got = sorted((tuple(r) for r in sinks.merged_by_key(rows, new, "id").collect()), key=str)
+    assert got == sorted([(1, "B", None), (2, "NEW", "m"), (None, "NEW", "x")], key=str)
+
+
+def test_widening_and_order(spark):
+    d = spark.createDataFrame([(2, "7"), (1, "x")], "id int, t string")
+    sinks.clustered(d, "wide", "t", "id", unique=True)
+    sinks.widen(spark, "wide", "t", "id", "bigint")
+    sinks.describe(spark, "wide", "t", "it's a table", t="a \\ text")
+    assert dict(spark.table("wide.t").dtypes)["id"] == "bigint" and spark.table("wide.t").count() == 2
+    assert [c.description for c in spark.catalog.listColumns("wide.t") if c.name == "t"] == ["a \\ text"]
+    with pytest.raises(ValueError):
+        sinks.widen(spark, "wide", "t", "t", "int")
+    with pytest.raises(ValueError):
+        sinks.clustered(d.unionByName(d), "wide", "u", "id", unique=True)
+    sinks.drop(spark, "wide", "t")
+
+
+def test_parents_of_deep_sections(spark):
+    weights = [5, 3, 1, 1, 2, 4, 3, 6, 1, 5]
+    d = spark.createDataFrame([("d", 0, None, "t0")] + [("d", k, float(w), f"t{k}") for k, w in enumerate(weights, 1)], "doc string, idx long, weight double, title string")
+    got = {r["idx"]: r["parent"] for r in lines.parents(d).collect()}
+    want = {k: max((j for j in range(1, k) if weights[j - 1] > w), default=0) for k, w in enumerate(weights, 1)}
+    assert got == {0: None, **want}
+
+
+def test_two_ways_of_counting_coauthors(spark):
+    """The summary from the editors' articles equals the counts over all rows, with unknown authors and editors without articles."""
+    editors = spark.createDataFrame([("E", "J", 1), ("F", "J", 2), ("G", "K", 9)], "editor string, journal string, person long")
+    edges = spark.createDataFrame([(10, 1), (10, 2), (11, 1), (12, 1), (12, None), (13, 2), (13, 3), (13, 1)], "article long, person long")
+    articles = spark.createDataFrame([(10, "j1", 2000, "a"), (11, "j1", 2000, "b"), (12, "x", 2000, "c"), (13, "x", 2001, "a")], "article long, venue string, year int, title string")
+    abbreviations = spark.createDataFrame([("J", ["j1"])], "journal string, abbreviations array<string>")
+    keys = ["editor", "abbreviations", "year"]
+    rows = graph.coauthor_counts(graph.coauthor_rows(editors, edges, articles, abbreviations), keys)
+    short = graph.coauthor_summary(editors, edges, articles, abbreviations, keys)
+    as_set = lambda d: {(r["editor"], tuple(r["abbreviations"] or ()), *r[2:]) for r in d.collect()}
+    assert as_set(rows) == as_set(short) and rows.columns == short.columns
