@@ -108,13 +108,13 @@ def citation_authors(chapters: DataFrame, references: DataFrame, dois: DataFrame
 def citation_summary(chapters: DataFrame, references: DataFrame, dois: DataFrame, edges: DataFrame, persons: DataFrame) -> DataFrame:
     """For each chapter what citation_authors finds, counted: n_rows, n_found, n_authors and the first author's name.
 
-    Numbers of rows are carried along: citations are counted before they meet authors, persons before they meet names, so that
-    names are neither fanned out nor compared more often than there are authors of a chapter's citations.
+    Numbers of rows are carried along: citations are counted before they meet authors, whose names are looked up once for each
+    edge; after that the least name is only looked for among a chapter's distinct ones.
     """
     r = references.select(F.trim("citing").alias("citing_key"), F.trim("cited").alias("cited_key"))
     c = chapters.select("from_key", F.trim(F.replace(F.col("doi"), F.lit("https://doi.org/"), F.lit(""))).alias("from_doi_key"))
     cited = c.join(r, c["from_doi_key"] == r["citing_key"], "left").join(dois.withColumnRenamed("doi", "known_doi"), F.col("cited_key") == F.col("known_doi"), "left")
     cited = cited.groupBy("from_key", "article").agg(F.count("*").alias("n"))
-    by_person = cited.join(edges, "article", "left").groupBy("from_key", "person").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("article").isNotNull(), F.col("n"))).alias("found"))
-    by_name = by_person.join(persons, "person", "left").groupBy("from_key", "name").agg(F.sum("n").alias("n"), F.sum("found").alias("found"))
+    names = edges.join(persons, "person", "left").select("article", "name")
+    by_name = cited.join(names, "article", "left").groupBy("from_key", "name").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("article").isNotNull(), F.col("n"))).alias("found"))
     return by_name.groupBy("from_key").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum("found"), F.lit(0)).alias("n_found"), F.count("name").alias("n_authors"), F.min("name").alias("first_author"))
