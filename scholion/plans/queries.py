@@ -705,3 +705,4 @@ def tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 from . import layouts  # noqa: E402,F401  registers the queries over generated pages, committees and batches
+from . import landed  # noqa: E402,F401  registers the models of the catalogue over landed tables
