@@ -24,7 +24,7 @@ BUNDLE, LARGEST = 2 << 20, 64 << 20
 BUCKET, BUCKETS = 32 << 20, 100_000
 
 
-def _estimate(docs: DataFrame) -> int:
+def estimate(docs: DataFrame) -> int:
     """Bytes that the optimiser expects of the input; 0 where it knows nothing."""
     n = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return n if n < 1 << 60 else 0
@@ -37,7 +37,7 @@ def store(docs: DataFrame, id_col: str, text_col: str, name: str, carry: bool =
     texts stay null. With carry, `others` holds the other columns of the input as structs beside the ids; else it is null.
     """
     spark = docs.sparkSession
-    expected = _estimate(docs)
+    expected = estimate(docs)
     bundle = min(LARGEST, max(BUNDLE, math.isqrt(384 * expected)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

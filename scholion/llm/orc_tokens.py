@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bundles import estimate
 from .common import pick, text_of, tidy
 from .kernels import pieces as slices
 from .tokens import SLICE, encoder, with_end
@@ -21,6 +22,9 @@ from .tokens import SLICE, encoder, with_end
 #: Settings of the files: rows between entries of the row index, bytes of a stripe, false positives of the Bloom filter.
 ORC = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "ZSTD"}
 
+#: Bytes of texts that a file is made of, where the session's number of shuffle partitions would give larger ones.
+FILE = 256 << 20
+
 
 def encode_ordered(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids) in ascending doc_id, partitions being intervals of ids.
@@ -39,7 +43,10 @@ def encode_ordered(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), lists], schema=schema)
 
     d = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    d = d.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    d = d.withColumn("tie", F.xxhash64("text"))
+    files = estimate(docs) // FILE
+    fixed = [files] if files > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []  # else adaptive execution may join small ones
+    d = d.repartitionByRange(*fixed, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return d.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 

@@ -99,6 +99,16 @@ def test_orc_tokens_edges(spark, empty, tmp_path):
     assert got == [(0, None, 3), (3, 5, 2), (5, 5, 2), (7, 7, 1)]
 
 
+def test_orc_files_grow_in_number_with_the_input(spark, docs, texts, tmp_path, monkeypatch):
+    from scholion.llm import orc_tokens
+
+    monkeypatch.setattr(orc_tokens, "estimate", lambda d: 30 * orc_tokens.FILE)
+    write_tokens(docs, str(tmp_path / "many"), BPE, end=1)
+    assert len(list((tmp_path / "many").glob("*.orc"))) > 20
+    rows = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in summaries(spark, str(tmp_path / "many")).collect())
+    assert [r[1] for r in rows] == list(range(len(texts))) and all(a[0] + a[2] == b[0] for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_orc_files_skip_what_is_not_asked(spark, tmp_path):
     """Row groups that can't hold an id are not read, and rows of one id may lie in several files."""
     from pyarrow import orc
