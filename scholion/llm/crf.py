@@ -199,7 +199,10 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1
     if len(labels) == 0 or labels.min() == labels.max():
         weights[-1] = 0.0 if len(labels) == 0 else (4.0 if labels[0] else -4.0)
         return Model(weights, stay)
-    features, length, first = line_features(texts)
+    # some texts at a time: what is counted for each byte on the way is many times the texts
+    parts = [line_features(b.column(0)) for b in pieces(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 0, 1 << 20)]
+    features, length = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first = np.concatenate([[0], *(p[2][1:] + at for p, at in zip(parts, np.cumsum([0, *(p[2][-1] for p in parts)]), strict=False))])
     share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     target = Likelihood(features, first, labels, share)
     m1, m2 = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
