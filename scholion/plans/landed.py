@@ -68,10 +68,10 @@ LANDED = {
     "acm__editorial_boards": """SELECT 'U' || s_nationkey AS affiliation, n_name AS country, r_name AS journal, 'Author ' || s_suppkey AS name, CASE WHEN s_acctbal < 1000 THEN 'Staff' WHEN s_acctbal < 5000 THEN 'Editor-in-Chief' ELSE 'Associate Editors' END AS role
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "acm__journal_dblp": f"SELECT * FROM (VALUES {_SEED}) AS seed(acm_journal, dblp_abbreviation)",
-    "core__conf_ranks": f"""SELECT p_name AS "Title", p_brand AS "Acronym", CASE WHEN p_size < 10 THEN 'A*' WHEN p_size < 20 THEN 'A' WHEN p_size < 30 THEN 'B' ELSE 'C' END AS "Rank", CASE WHEN p_retailprice > 950 THEN '{RANKING_SITE}conf/' || p_partkey ELSE 'none' END AS "DBLP" FROM {{part}}""",
-    "core__jnl_ranks": f"""SELECT p_name AS "Title", CASE WHEN p_size < 15 THEN 'A*' WHEN p_size < 35 THEN 'A' ELSE 'C' END AS "Rank", CASE WHEN p_retailprice > 950 THEN '{RANKING_SITE}journals/' || p_partkey END AS "DBLP" FROM {{part}}""",
+    "core__conf_ranks": f"""SELECT p_name AS "Title", p_brand AS "Acronym", CASE WHEN p_size < 10 THEN 'A*' WHEN p_size < 20 THEN 'A' WHEN p_size < 30 THEN 'B' ELSE 'C' END AS "Rank", CASE WHEN p_retailprice > 905 THEN '{RANKING_SITE}conf/' || p_partkey ELSE 'none' END AS "DBLP" FROM {{part}}""",
+    "core__jnl_ranks": f"""SELECT p_name AS "Title", CASE WHEN p_size < 15 THEN 'A*' WHEN p_size < 35 THEN 'A' ELSE 'C' END AS "Rank", CASE WHEN p_retailprice > 905 THEN '{RANKING_SITE}journals/' || p_partkey END AS "DBLP" FROM {{part}}""",
     "core__manual_dblp_url": f"""SELECT p_name AS title, p_brand AS acronym, '{RANKING_SITE}conf/m' || min(p_partkey) || '/index.html' AS dblp_url FROM {{part}} GROUP BY p_name, p_brand""",
-    "dblp_api__document": f"""SELECT CASE WHEN p_size < 10 THEN '{SERIES}' ELSE p_type END AS info_venue, CASE WHEN p_size = 20 THEN '{SERIES}' END AS info_venue_0, CASE WHEN p_size = 30 THEN '{SERIES}' END AS info_venue_1, CASE WHEN p_retailprice > 950 THEN 'https://doi.org/10.9/b' || p_partkey END AS info_ee, {_BOOK_KEY} AS info_key FROM {{part}}""",
+    "dblp_api__document": f"""SELECT CASE WHEN p_size < 10 THEN '{SERIES}' ELSE p_type END AS info_venue, CASE WHEN p_size = 20 THEN '{SERIES}' END AS info_venue_0, CASE WHEN p_size = 30 THEN '{SERIES}' END AS info_venue_1, CASE WHEN p_retailprice > 905 THEN 'https://doi.org/10.9/b' || p_partkey END AS info_ee, {_BOOK_KEY} AS info_key FROM {{part}}""",
     "dblp_api__manual_dblp_api_document": "SELECT CASE WHEN s_acctbal > 0 THEN 'LNCS' ELSE 'other' END AS type, 'conf/s/' || s_suppkey AS dblp_key, 'https://s/' || s_nationkey AS url FROM {supplier}",
     "springer_lncs__book": "SELECT " + ", ".join(f'{_BOOK_VALUES.get(c, "p_type")} AS "{c}"' for c in BOOK) + " FROM {part}",
     "springer_lncs__chapter": f"""SELECT 'https://books/' || p_partkey AS "$_book_url", {_PAPER} AS "$_paper_url", {_BOOK_KEY} AS "$_dblp_key", {_CHAPTER_DOI} AS doi, 'Chapter ' || l_partkey AS title, 'o' || l_linenumber AS online_isbn, 'p' || l_linenumber AS print_isbn,
