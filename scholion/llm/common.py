@@ -119,7 +119,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
-    """A table of whole numbers made on the driver, as a constant of the plan: no Python, no RDD, no file.
+    """A table of whole numbers and names made on the driver, as a constant of the plan: no Python, no RDD, no file.
 
     It is broadcast if it has at most BROADCAST_ROWS rows; beyond that it is joined by a shuffle.
     """

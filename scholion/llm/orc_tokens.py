@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bundles import estimate
-from .common import pick, text_of, tidy
+from .common import pick, small, text_of, tidy
 from .kernels import pieces as slices
 from .tokens import SLICE, encoder, with_end
 
@@ -86,5 +86,5 @@ def summaries(spark: SparkSession, folder: str) -> DataFrame:
         before.append((r["file"], at))
         at += r["n"]
     inside = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(F.broadcast(spark.createDataFrame(before, "file string, before long")), "file")
+    out = rows.join(small(spark, before, "file string, before long"), "file")
     return out.select("doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
