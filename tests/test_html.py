@@ -57,3 +57,18 @@ def test_journals_and_failures(spark):
     got = {r["path"]: r["status"] for r in html.parse(d, lambda page: [{"n": str(boom(page))}]).collect()}
     assert got == {"a": "SUCCEEDED", "b": "FAILED", "c": "FAILED"}
     assert html.stamped(d, run="1").columns[-1] == "run"
+
+
+def test_elements_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from scholion.plans import queries as q
+
+    odd = ["<title>a &amp b</title><li>cut &am</li>", "<h1>x&copy;&middot;&#38;&nbsp;&amp;lt;</h1>", "<li>a<ul><li>b</li></ul></li><li>open", "<LI>A</LI><li class='c'>B</li><li> \u00a0c\u3000d\x0be\x0c \u2003</li>",
+           "<!-- <li>no</li> --><script>var t = '<li>s</li>'</script>", "<h1>a & <b>b</b>&<i>lt;</i>\r\n c</h1><li></li>", "", None, "<li>a<b</li>"]
+    spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(q.ORACLE_SQL["html_elements"])
+    got = q.QUERIES["html_elements"](spark, str(tmp_path)).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
