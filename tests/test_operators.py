@@ -198,3 +198,49 @@ def test_two_ways_of_counting_coauthors(spark):
     short = graph.coauthor_summary(editors, edges, articles, abbreviations, keys)
     as_set = lambda d: {(r["editor"], tuple(r["abbreviations"] or ()), *r[2:]) for r in d.collect()}
     assert as_set(rows) == as_set(short) and rows.columns == short.columns
+
+
+def _written(node) -> int:
+    """Rows that a plan that ran has shuffled, what is read again counted once."""
+    kind = node.getClass().getSimpleName()
+    if kind in ("AdaptiveSparkPlanExec", "ReusedExchangeExec"):
+        return _written(node.executedPlan()) if kind.startswith("A") else 0
+    if kind.endswith("QueryStageExec"):
+        return _written(node.plan())
+    own, children = node.metrics().get("shuffleRecordsWritten"), node.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(_written(children.apply(k)) for k in range(children.size()))
+
+
+def test_members_are_measured_without_a_row_for_each_coauthor(spark):
+    """The same as over all rows, for members of several persons, persons of several members, keys of several numbers, and unknowns."""
+    editors = spark.createDataFrame([("E", "J"), ("E", "K"), ("E", None), ("F", "J"), ("G", "J"), ("H", "K"), (None, "K")], "member string, journal string")
+    names = spark.createDataFrame([("E", "e1"), ("E", "e2"), ("F", "f"), ("G", "f"), ("X", "x"), ("Y", "y"), ("Y2", "y"), ("Y2", "y"), ("Z", None), (None, "n")], "name string, person string")
+    by = {10: "EFX", 11: ["E", "Y", "Y2"], 12: "E", 13: "FG", 14: ["X", "E", None], 15: "FXZQ", 16: ["F", "Y"], 17: ["F", "X"], 18: ["X", "Y"], 19: ["F", "X"]}
+    written = spark.createDataFrame([(i, n) for i, ns in by.items() for n in ns] + [(10, "X"), (None, "E")], "id int, name string")
+    rows = [(10, "j/J1/a", "a", 2000), (11, "j/J1/b", "a", 2000), (12, "j/J1/c", "a", 2000), (13, "j/J1/d", "a", 2001), (14, "j/K1/e", "p", 2000), (14, "j/K1/e", "a", 2000), (15, "j/J1/f", "a", None), (16, "j/J1/g", "a", 2000), (17, "j/J1/g", "a", 2000), (17, "j/J1/g", "p", 2001), (19, None, "a", 2000), (10, "j/J1/a", "a", 2000)]
+    publications = spark.createDataFrame(rows, "id int, article string, kind string, pub_year int").withColumn("venue", F.split_part("article", F.lit("/"), F.lit(2)))
+    abbreviations = spark.createDataFrame([("J", ["J1"]), ("K", ["K1", "K2"])], "journal string, abbreviations array<string>")
+    edges = publications.join(written, "id").join(names, "name").select("article", "person").distinct()
+    articles = publications.select("article", "venue", F.col("pub_year"), "kind").distinct()
+    board = editors.join(names.withColumnRenamed("name", "member"), "member").distinct()
+    want = graph.coauthor_measures(graph.coauthor_rows(board, edges, articles, abbreviations))
+    got = graph.board_measures(editors, names, written, publications, abbreviations).select(want.columns)
+    as_rows = lambda d: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()), key=str)
+    assert as_rows(got) == as_rows(want) and len(as_rows(got)) > 12
+
+
+def test_coauthors_shuffle_a_few_rows_for_each_author(spark):
+    from helpers import DATA
+
+    from scholion.plans import queries as q
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        out = q.QUERIES["model_coauthors"](spark, DATA)
+        out.collect()
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    assert 0 < _written(out._jdf.queryExecution().executedPlan()) < 6 * spark.read.parquet(f"{DATA}/lineitem.parquet").count()
