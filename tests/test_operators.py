@@ -244,3 +244,17 @@ def test_coauthors_shuffle_a_few_rows_for_each_author(spark):
         for n in names:
             spark.conf.unset(n)
     assert 0 < _written(out._jdf.queryExecution().executedPlan()) < 6 * spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+
+
+def test_keys_that_many_share_unfold_after_the_last_shuffle(spark):
+    """Each row once, where rows, keys or both repeat; what a shared key unfolds into isn't shuffled."""
+    from scholion.operators import matching
+
+    a = [("p", 1, None, "e", None), ("p", 1, None, "e", None), ("p", 1, "o", "e", None), ("q", 1, "none", "e", None), ("q", 1, None, None, "N"), ("r", None, None, None, "n"), ("r", None, None, None, None), ("s", 1, None, "no", "n"), ("s", 1, None, "na", "n")]
+    rows = spark.createDataFrame(a + [(f"x{n}", n, None, "e", None) for n in range(60)], "paper string, who int, o string, e string, n string")
+    known = spark.createDataFrame([("o", "e", "n", "s1"), ("o", None, None, "s1"), (None, "e", None, "s2"), (None, None, "n", "s2")] + [(None, "e", None, f"t{n}") for n in range(50)] * 2, "o string, e string, n string, s string")
+    out = matching.by_branches(rows, known, ["o", "e", "n"], "s", ["`paper`", "who"])
+    rest = {f"t{n}" for n in range(50)}
+    want = [("p", 1, s) for s in {"s1", "s2"} | rest] + [("q", 1, None), *[("r", None, s) for s in ("s1", "s2")], ("s", 1, None)] + [(f"x{n}", n, s) for n in range(60) for s in {"s1", "s2"} | rest]
+    assert out.columns == ["paper", "who", "s"] and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert 0 < _written(out._jdf.queryExecution().executedPlan()) < 60 * 50
