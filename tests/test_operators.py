@@ -258,3 +258,51 @@ def test_keys_that_many_share_unfold_after_the_last_shuffle(spark):
     want = [("p", 1, s) for s in {"s1", "s2"} | rest] + [("q", 1, None), *[("r", None, s) for s in ("s1", "s2")], ("s", 1, None)] + [(f"x{n}", n, s) for n in range(60) for s in {"s1", "s2"} | rest]
     assert out.columns == ["paper", "who", "s"] and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert 0 < _written(out._jdf.queryExecution().executedPlan()) < 60 * 50
+
+
+def test_rows_are_shuffled_once_where_few_are_known(spark):
+    """Chapters' authors by several keys: no shuffle of line items to meet suppliers, names or surrogates, whatever Spark would broadcast by itself."""
+    from helpers import DATA
+
+    from scholion.plans import queries as q
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        out = q.QUERIES["model_stg_lncs_author_chapter"](spark, DATA)
+        out.collect()
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    assert 0 < _written(out._jdf.queryExecution().executedPlan()) < 1.5 * spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+
+
+def test_surrogates_are_the_same_where_many_are_known(spark, monkeypatch):
+    """Beyond the rows that are broadcast, rows are shuffled again to meet what is known."""
+    from scholion.operators import matching
+
+    a = [("p", "o", "e"), ("p", None, "e"), ("q", None, "none"), ("q", None, "none"), ("r", None, None), *[(f"x{n}", None, "e") for n in range(20)]]
+    rows = spark.createDataFrame(a, "paper string, o string, e string")
+    known = spark.createDataFrame([("o", "e", "s1"), (None, "e", "s2"), (None, "e", "s2")], "o string, e string, s string")
+    want = sorted([("p", "s1"), ("p", "s2"), ("q", None), *[(f"x{n}", s) for n in range(20) for s in ("s1", "s2")]], key=str)
+    for few in (matching.FEW, 0):
+        monkeypatch.setattr(matching, "FEW", few)
+        out = matching.by_branches(rows, known, ["o", "e"], "s", ["paper"])
+        assert sorted(map(tuple, out.collect()), key=str) == want
+
+
+def test_authors_who_share_an_email_form_no_pairs(spark):
+    """One row for each ORCID of an email, in all its spellings; a name that an ORCID lacks comes from everyone who shares the email."""
+    from scholion.plans.catalogue import registry
+
+    a = [("P", "E@x", "o1"), (None, "e@x", "o2"), ("T", None, "o3"), ("Q", "e@x", None), ("R", "e@X", None), (None, "e@x", None), ("S", "s@x", None), ("S", None, None), ("Q", None, None), ("U", None, None)]
+    a += [(f"n{n}", "e@x", None) for n in range(200)] + [(f"k{n}", "e@x", f"k{n}") for n in range(200)]
+    tables = {"author": spark.createDataFrame(a, "name string, email string, orc string"), "manual_author": spark.createDataFrame([], "name string, email string, orc string")}
+    out = registry.run(spark, lambda schema, name: tables[name], ["stg_lncs_author"]).done["stg_lncs_author"]
+    got = {(r["name"], r["email"], r["orc"]) for r in out.collect()}
+    shared = {"e@x", "e@X"}
+    want = {(n, e, o) for n, e, o in a if o} | {(n, e, o) for n, o in [("P", "o1"), *[(f"k{n}", f"k{n}") for n in range(200)]] for e in shared} | {("T", None, "o3"), ("S", "s@x", None), ("U", None, None)}
+    want |= {(n, e, "o2") for n, e, o in a if e in shared and not o} | {("Q", "e@x", "o2")}
+    assert got == want and out.count() == len({(r["surrogate_id"], *k) for r in out.collect() for k in [(r["name"], r["email"], r["orc"])]})
+    assert 0 < _written(out._jdf.queryExecution().executedPlan()) < 200 * 200
